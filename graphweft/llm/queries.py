@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.llm import tokenize
+from graphweft.llm import encoding_repair, tokenize
 from graphweft.runtime import table
 
 
@@ -12,5 +12,13 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding_repair.found(table(spark, d, "documents"))
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding_repair.restore(table(spark, d, "documents"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p9_found": p9_found, "p9_restored": p9_restored}
 SQL: dict[str, str] = {}

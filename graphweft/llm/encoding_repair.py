@@ -276,7 +276,8 @@ def damaged_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     pairs = vocabulary.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(edged) - 1), lambda i: edged.substr(i, F.lit(2)))).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
     pairs = {r.pair: r.n for r in pairs.filter(F.col("n") >= max(1.0, COMMON * total / 20)).collect()}
     model = spark.sparkContext.broadcast((total, words, pairs))
-    damaged = runtime.materialize(vocabulary.mapInArrow(lambda b: _decode(b, model), "run string, n long, restored string"), "damaged")
+    spread = vocabulary.repartition(max(spark.sparkContext.defaultParallelism, vocabulary.rdd.getNumPartitions()), "run")  # a small table, much work a row
+    damaged = runtime.materialize(spread.mapInArrow(lambda b: _decode(b, model), "run string, n long, restored string"), "damaged")
     wrong = {r.run for r in damaged.filter(F.col("n") >= least).select("run").collect()}
     usual = spark.sparkContext.broadcast(frozenset(w for w in words if w not in wrong))
     rare = picked.mapInArrow(lambda b: _rare(b, usual), "doc_id long, run string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.llm import encoding_repair, tokenize
+from graphweft.llm import encoding_repair, eval_leakage, tokenize
 from graphweft.runtime import table
 
 
@@ -12,6 +12,14 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return eval_leakage.found(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return eval_leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding_repair.found(table(spark, d, "documents"))
 
@@ -20,5 +28,5 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding_repair.restore(table(spark, d, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_restored": p9_restored}
 SQL: dict[str, str] = {}

@@ -3,11 +3,76 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphweft.llm import encoding_repair, eval_leakage, tokenize
+from graphweft import runtime
+from graphweft.llm import encoding_repair, eval_leakage, quantile_sketch, split, tokenize
 from graphweft.runtime import table
 
 
+def _linked_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of graphs with a usable setting: edge_id, graph, delete_fraction and the link's ends as ``symetric`` has them."""
+    usable = table(spark, d, "validation_params").filter("delete_fraction > 0 and delete_fraction < 1 and symetric is not null")
+    setting = usable.groupBy("graph").agg(F.max("delete_fraction").alias("delete_fraction"), F.max("symetric").alias("symetric"))
+    e = table(spark, d, "edge_list").filter("src is not null and dst is not null").select("edge_id", "graph", "src", "dst").join(setting, "graph")
+    ends = [F.when(F.col("symetric"), f("src", "dst")).otherwise(F.col(c)).alias(a) for f, c, a in ((F.least, "src", "a"), (F.greatest, "dst", "b"))]
+    return e.select("edge_id", "graph", "delete_fraction", *ends)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    labels, _ = split.groups(_linked_rows(spark, d), [["graph", "a", "b"]], "edge_id")
+    return labels.filter("node <> root").select(F.col("root").alias("edge_id_a"), F.col("node").alias("edge_id_b"))
+
+
+def p5_split(spark: SparkSession, d: str) -> DataFrame:
+    rows = _linked_rows(spark, d).select("edge_id", "graph", "delete_fraction")
+    labels, _ = split.groups(_linked_rows(spark, d), [["graph", "a", "b"]], "edge_id")
+    rooted = runtime.materialize(rows.join(labels, rows.edge_id == labels.node, "left").select("edge_id", "graph", "delete_fraction", F.coalesce("root", "edge_id").alias("root")), "rooted")
+    dealt = split.deal(rooted.groupBy("graph", "delete_fraction", "root").agg(F.count(F.lit(1)).alias("size")), ["graph"], "size", "delete_fraction")
+    return rooted.join(dealt.select("root", "split"), "root").select("edge_id", "graph", "split")
+
+
+P6_QS = [0.5, 0.9, 0.95, 0.99]
+
+
+def _degree_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Partial results by load day; repeated rows count once."""
+    once = quantile_sketch.one_per_key(table(spark, d, "node_degree").select("snap_id", "node", "graph", "d_in", "d_out", "loaded_at"), ["snap_id", "node"])
+    return quantile_sketch.sketch(once.withColumn("day", F.to_date("loaded_at")), ["graph", "snap_id", "day"], ["d_in", "d_out"])
+
+
+def _block_sketch(spark: SparkSession, d: str) -> DataFrame:
+    once = quantile_sketch.one_per_key(table(spark, d, "block_stat").select("run_id", "blocnum", "graph", "mean_dist", "loaded_at"), ["run_id", "blocnum"])
+    return quantile_sketch.sketch(once.withColumn("day", F.to_date("loaded_at")), ["graph", "run_id", "day"], ["mean_dist"])
+
+
+def _p6(sketch, keys: list[str]):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        out = quantile_sketch.percentiles(quantile_sketch.merge(sketch(spark, d), keys), keys, P6_QS)
+        return out.select(*keys, "field", "q", "n", F.round("value", 6).alias("value"))
+
+    return query
+
+
+p6_degree_by_snapshot, p6_degree_by_graph = _p6(_degree_sketch, ["graph", "snap_id"]), _p6(_degree_sketch, ["graph"])
+p6_distance_by_run, p6_distance_by_graph = _p6(_block_sketch, ["graph", "run_id"]), _p6(_block_sketch, ["graph"])
+
+
+def _p6_sql(source: str, keys: str, fields: list[str]) -> str:
+    """The same buckets in SQL, error 0.01."""
+    long = " union all ".join(f"select {keys}, '{f}' field, {f}::double v from once" for f in fields)
+    return f"""with once as ({source}), x as (select * from ({long}) where v is not null and not isnan(v)),
+    b as (select {keys}, field, sign(v)::int s, case when v = 0 then 0 else ceil(ln(nullif(abs(v), 0)) / ln(1.01 / 0.99))::int end k, count(*) n from x group by all),
+    c as (select *, sum(n) over (partition by {keys}, field order by s, s * k) upto, sum(n) over (partition by {keys}, field) total from b),
+    q as (select unnest([0.5, 0.9, 0.95, 0.99])::double q)
+    select {keys}, field, q, total::bigint n, round(case when s = 0 then 0.0 else s * 2 / (1.01 / 0.99 + 1) * pow(1.01 / 0.99, k) end, 6) value
+    from c, q where floor(q * (total - 1)) < upto and floor(q * (total - 1)) >= upto - n"""
+
+
+_DEGREE_ONCE = "select snap_id, node, min(graph) graph, max(d_in) d_in, max(d_out) d_out from node_degree group by snap_id, node"
+_BLOCK_ONCE = "select run_id, blocnum, min(graph) graph, max(case when isnan(mean_dist) then null else mean_dist end) mean_dist from block_stat group by run_id, blocnum"
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
@@ -28,5 +93,13 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding_repair.restore(table(spark, d, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_restored": p9_restored}
-SQL: dict[str, str] = {}
+QUERIES = {"p5_found": p5_found, "p5_split": p5_split, "p6_degree_by_snapshot": p6_degree_by_snapshot, "p6_degree_by_graph": p6_degree_by_graph, "p6_distance_by_run": p6_distance_by_run, "p6_distance_by_graph": p6_distance_by_graph, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_restored": p9_restored}
+SQL: dict[str, str] = {
+    "p5_found": """with s as (select graph, bool_or(symetric) y from validation_params where delete_fraction > 0 and delete_fraction < 1 and symetric is not null group by graph),
+    e as (select edge_id, graph, case when y then least(src, dst) else src end a, case when y then greatest(src, dst) else dst end b from edge_list join s using (graph) where src is not null and dst is not null),
+    m as (select edge_id, min(edge_id) over (partition by graph, a, b) k from e) select k edge_id_a, edge_id edge_id_b from m where k <> edge_id""",
+    "p6_degree_by_snapshot": _p6_sql(_DEGREE_ONCE, "graph, snap_id", ["d_in", "d_out"]),
+    "p6_degree_by_graph": _p6_sql(_DEGREE_ONCE, "graph", ["d_in", "d_out"]),
+    "p6_distance_by_run": _p6_sql(_BLOCK_ONCE, "graph, run_id", ["mean_dist"]),
+    "p6_distance_by_graph": _p6_sql(_BLOCK_ONCE, "graph", ["mean_dist"]),
+}

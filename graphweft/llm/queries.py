@@ -6,10 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweft import runtime
-from graphweft.llm import encoding_repair, eval_leakage, quantile_sketch, split, tokenize
+from graphweft.llm import encoding_repair, eval_leakage, quantile_sketch, set_join, split, tokenize
 from graphweft.runtime import table
 
 
+def _sketch_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Space 0: sketches and sketches_out, compared within and with each other; space 1: sketches_in."""
+    sym, asym = table(spark, d, "node_sketch"), table(spark, d, "node_sketch_asym")
+    parts = [src.select(F.lit(space).alias("space"), F.lit(f).alias("field"), F.col("node").alias("id"), F.col(f).alias("toks")) for src, f, space in ((sym, "sketches", 0), (asym, "sketches_out", 0), (asym, "sketches_in", 1))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = set_join.similar_records(_sketch_sets(spark, d), 0.6)
+    kind = F.when(F.col("field_a") != F.col("field_b"), "sym_out").when(F.col("field_a") == "sketches", "sym").when(F.col("field_a") == "sketches_out", "out").otherwise("in")
+    return pairs.select(kind.alias("kind"), F.col("id_a").alias("node_a"), F.col("id_b").alias("node_b"))
+
+
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    return set_join.links_per_record(_sketch_sets(spark, d), 0.6)
+
+
 def _linked_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows of graphs with a usable setting: edge_id, graph, delete_fraction and the link's ends as ``symetric`` has them."""
     usable = table(spark, d, "validation_params").filter("delete_fraction > 0 and delete_fraction < 1 and symetric is not null")
@@ -93,8 +110,14 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding_repair.restore(table(spark, d, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_split": p5_split, "p6_degree_by_snapshot": p6_degree_by_snapshot, "p6_degree_by_graph": p6_degree_by_graph, "p6_distance_by_run": p6_distance_by_run, "p6_distance_by_graph": p6_distance_by_graph, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p5_found": p5_found, "p5_split": p5_split, "p6_degree_by_snapshot": p6_degree_by_snapshot, "p6_degree_by_graph": p6_degree_by_graph, "p6_distance_by_run": p6_distance_by_run, "p6_distance_by_graph": p6_distance_by_graph, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_restored": p9_restored}
 SQL: dict[str, str] = {
+    "p2_found": """with r as (select 0 s, 'sym' f, node, list_distinct(any_value(sketches)) t from node_sketch group by node
+    union all select 0, 'out', node, list_distinct(any_value(sketches_out)) from node_sketch_asym group by node
+    union all select 1, 'in', node, list_distinct(any_value(sketches_in)) from node_sketch_asym group by node),
+    k as (select * from r where len(t) > 0)
+    select case when a.f = b.f then a.f else 'sym_out' end kind, a.node node_a, b.node node_b from k a join k b on a.s = b.s and a.node < b.node
+    and len(a.t) >= 0.6 * len(b.t) and len(b.t) >= 0.6 * len(a.t) and len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.6""",
     "p5_found": """with s as (select graph, bool_or(symetric) y from validation_params where delete_fraction > 0 and delete_fraction < 1 and symetric is not null group by graph),
     e as (select edge_id, graph, case when y then least(src, dst) else src end a, case when y then greatest(src, dst) else dst end b from edge_list join s using (graph) where src is not null and dst is not null),
     m as (select edge_id, min(edge_id) over (partition by graph, a, b) k from e) select k edge_id_a, edge_id edge_id_b from m where k <> edge_id""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweft import runtime
-from graphweft.llm import encoding_repair, eval_leakage, quantile_sketch, set_join, split, tokenize
+from graphweft.llm import encoding_repair, eval_leakage, quantile_sketch, set_join, split, tokenize, vector_knn
 from graphweft.runtime import table
 
 
@@ -27,6 +27,25 @@ def p2_links(spark: SparkSession, d: str) -> DataFrame:
     return set_join.links_per_record(_sketch_sets(spark, d), 0.6)
 
 
+def _each_field(spark: SparkSession, d: str, **options) -> DataFrame:
+    out = None
+    for t, f in (("embedded", "data"), ("embedded_asym", "source"), ("embedded_asym", "target")):
+        own = vector_knn.nearest(table(spark, d, t), f, "node", f, 48, **options)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours of cosine 0.9 or more among the 5 nearest; the bound is passed down, so only leaves that can hold them are visited."""
+    n = _each_field(spark, d, recall=0.995, least=0.9).filter("cosine >= 0.9")
+    return n.select("field", F.least("id", "neighbour").alias("node_a"), F.greatest("id", "neighbour").alias("node_b")).distinct()
+
+
+def p4_knn(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar vectors of every vector."""
+    return _each_field(spark, d, recall=0.93)
+
+
 def _linked_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows of graphs with a usable setting: edge_id, graph, delete_fraction and the link's ends as ``symetric`` has them."""
     usable = table(spark, d, "validation_params").filter("delete_fraction > 0 and delete_fraction < 1 and symetric is not null")
@@ -110,7 +129,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding_repair.restore(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p5_found": p5_found, "p5_split": p5_split, "p6_degree_by_snapshot": p6_degree_by_snapshot, "p6_degree_by_graph": p6_degree_by_graph, "p6_distance_by_run": p6_distance_by_run, "p6_distance_by_graph": p6_distance_by_graph, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p4_found": p4_found, "p4_knn": p4_knn, "p5_found": p5_found, "p5_split": p5_split, "p6_degree_by_snapshot": p6_degree_by_snapshot, "p6_degree_by_graph": p6_degree_by_graph, "p6_distance_by_run": p6_distance_by_run, "p6_distance_by_graph": p6_distance_by_graph, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_restored": p9_restored}
 SQL: dict[str, str] = {
     "p2_found": """with r as (select 0 s, 'sym' f, node, list_distinct(any_value(sketches)) t from node_sketch group by node
     union all select 0, 'out', node, list_distinct(any_value(sketches_out)) from node_sketch_asym group by node

@@ -1 +1 @@
-"""operators of graphweft."""
+"""Operators on edge tables, embeddings and blocks, and per-key results under skew."""

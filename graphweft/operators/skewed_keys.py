@@ -37,15 +37,16 @@ def percentiles(weighted: DataFrame, keys: Sequence[str], qs: Sequence[float], b
     from at most ``blocks`` sums, and only the values of that block are ranked.
     """
     w = weighted.filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
-    span = w.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("weight").alias("rows"))
-    placed = w.join(span, list(keys)).withColumn("block", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * blocks)).otherwise(F.lit(0)).cast("int"))
-    by_block = placed.groupBy(*keys, "block").agg(F.sum("weight").alias("in_block"), F.first("rows").alias("rows"))
-    upto = F.sum("in_block").over(Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
-    wanted = by_block.withColumn("upto", upto).withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("rank", F.floor(F.col("q") * (F.col("rows") - 1)))
-    wanted = wanted.filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("in_block"))).select(*keys, "block", "q", (F.col("rank") - F.col("upto") + F.col("in_block")).alias("rank"))
-    inner = F.sum("weight").over(Window.partitionBy(*keys, "block").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = placed.join(wanted.select(*keys, "block").distinct(), [*keys, "block"], "left_semi").withColumn("upto", inner)
-    hit = ranked.join(wanted, [*keys, "block"]).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("weight")))
+    span = w.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.sum("weight").alias("_rows"))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * blocks)).otherwise(F.lit(0)).cast("int")
+    placed = w.join(span, list(keys)).withColumn("_block", place)
+    by_block = placed.groupBy(*keys, "_block").agg(F.sum("weight").alias("_in"), F.first("_rows").alias("_rows"))
+    upto = F.sum("_in").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0))
+    wanted = by_block.withColumn("_upto", upto).withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("_rank", F.floor(F.col("q") * (F.col("_rows") - 1)))
+    wanted = wanted.filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_in"))).select(*keys, "_block", "q", (F.col("_rank") - F.col("_upto") + F.col("_in")).alias("_rank"))
+    inner = F.sum("weight").over(Window.partitionBy(*keys, "_block").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = placed.join(wanted.select(*keys, "_block").distinct(), [*keys, "_block"], "left_semi").withColumn("_upto", inner)
+    hit = ranked.join(wanted, [*keys, "_block"]).filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("weight")))
     return hit.select(*keys, "q", "value")
 
 

@@ -1 +1 @@
-"""plans of graphweft."""
+"""Registered queries and the SQL they are checked against."""

@@ -1 +1 @@
-"""streaming of graphweft."""
+"""No stream operators: the engine this one matches has none."""

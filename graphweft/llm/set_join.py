@@ -93,17 +93,24 @@ def _less(x: np.ndarray) -> np.ndarray:
     return _mix(x ^ np.uint64(0xD1B54A32D192ED03)).astype(np.int64)
 
 
+def _parity(tok: np.ndarray, rec: np.ndarray, n: int) -> np.ndarray:
+    """64 parity bits of each set. Each token by which two sets differ changes one bit, so they differ in no more bits."""
+    bits = np.zeros(n, np.uint64)
+    np.bitwise_xor.at(bits, rec, np.uint64(1) << (_mix(tok.astype(np.uint64) ^ np.uint64(0xA0761D6478BD642F)) & np.uint64(63)))
+    return bits.astype(np.int64)
+
+
 def _batch(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     sid, space, toks = (batch.column(c) for c in ("h1", "space", "toks"))
     size = np.asarray(toks.value_lengths()).astype(np.int64)
     return np.asarray(sid), np.asarray(space), size, np.asarray(toks.flatten()), np.repeat(np.arange(len(size)), size)
 
 
-def _emit(parts: list[tuple[np.ndarray, np.ndarray]], sid: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _emit(parts: list[tuple[np.ndarray, np.ndarray]], sid: np.ndarray, size: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     for key, rec in parts:
         for i in range(0, len(key), 100_000):
             k, r = key[i : i + 100_000], rec[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(sid[r]), pa.array(size[r].astype(np.int32))], names=["key", "sid", "len"])
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(sid[r]), pa.array(size[r].astype(np.int32)), pa.array(bits[r])], names=["key", "sid", "len", "bits"])
 
 
 def _pick(tok: np.ndarray, rec: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,19 +125,21 @@ def _pick(tok: np.ndarray, rec: np.ndarray, own: np.ndarray) -> tuple[np.ndarray
 def _index(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sid, space, size, tok, rec = _batch(batch)
+        bits = _parity(tok, rec, len(size))
         ends = np.array([class_of(x)[1] for x in range(1, int(size.max(initial=0)) + 1)])[size - 1] if len(size) else size
         for b in np.unique(ends).tolist():
             own = np.flatnonzero(ends == b)
             tk, rc = _pick(tok, rec, own)
             m, h, cell, total = _segments(tk, rc, len(own), b, t, space[own])
             with np.errstate(over="ignore"):
-                yield from _emit([(_whole(total), np.repeat(own, m)), (_less(total[cell] - h), own[rc])], sid, size)
+                yield from _emit([(_whole(total), np.repeat(own, m)), (_less(total[cell] - h), own[rc])], sid, size, bits)
 
 
 def _probe(batches: Iterator[pa.RecordBatch], t: float, hot) -> Iterator[pa.RecordBatch]:
     tokens, share, rare = hot.value
     for batch in batches:
         sid, space, size, tok, rec = _batch(batch)
+        bits = _parity(tok, rec, len(size))
         at = np.minimum(np.searchsorted(tokens, tok), max(len(tokens) - 1, 0))
         cost = np.where(tokens[at] == tok, share[at], rare) if len(tokens) else np.full(len(tok), rare)
         log = np.log(cost)
@@ -161,7 +170,7 @@ def _probe(batches: Iterator[pa.RecordBatch], t: float, hot) -> Iterator[pa.Reco
             both = np.flatnonzero(e == 2)
             deep = np.flatnonzero(e[cell] == 2)
             with np.errstate(over="ignore"):
-                yield from _emit([(_whole(total[asked]), who[asked]), (_less(total[both]), who[both]), (_whole(total[cell[deep]] - h[deep]), own[rc[deep]])], sid, size)
+                yield from _emit([(_whole(total[asked]), who[asked]), (_less(total[both]), who[both]), (_whole(total[cell[deep]] - h[deep]), own[rc[deep]])], sid, size, bits)
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
@@ -172,11 +181,13 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     # At most mean set size / HOT tokens reach this share.
     hot = sorted((r.t, r.n / max(total, 1)) for r in sets.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(2.0, HOT * total)).collect())
     given = spark.sparkContext.broadcast((np.array([t for t, _ in hot], np.int64), np.array([x for _, x in hot]), max(HOT, 2 / max(total, 2)) / 4))
-    schema = "key long, sid long, len int"
+    schema = "key long, sid long, len int, bits long"
     source = sets.select("space", "h1", "toks")
     index = source.mapInArrow(lambda b: _index(b, threshold), schema).alias("i")
     probe = source.mapInArrow(lambda b: _probe(b, threshold, given), schema).alias("p")
-    fits = (F.col("p.len") <= F.col("i.len")) & (F.col("i.len") * F.lit(threshold) <= F.col("p.len") + F.lit(1e-9)) & ((F.col("p.len") < F.col("i.len")) | (F.col("p.sid") < F.col("i.sid")))
+    both = F.col("p.len") + F.col("i.len")
+    apart = both - 2 * F.ceil(F.lit(threshold / (1 + threshold)) * both - F.lit(1e-9))
+    fits = (F.bit_count(F.col("p.bits").bitwiseXOR(F.col("i.bits"))) <= apart) & (F.col("p.len") <= F.col("i.len")) & (F.col("i.len") * F.lit(threshold) <= F.col("p.len") + F.lit(1e-9)) & ((F.col("p.len") < F.col("i.len")) | (F.col("p.sid") < F.col("i.sid")))
     pairs = probe.join(index, (F.col("p.key") == F.col("i.key")) & fits).select(F.col("p.sid").alias("h1_a"), F.col("i.sid").alias("h1_b")).distinct()
     a, b = (sets.select(*[F.col(c).alias(f"{c}_{s}") for c in ("space", "h1", "h2", "toks")]) for s in "ab")
     common = F.size(F.array_intersect("toks_a", "toks_b"))

@@ -150,27 +150,44 @@ def stable_prefixes(alpha: DataFrame, member: DataFrame) -> DataFrame:
 
     Cross edges give their whole weight to the outer end; the union is stable if the least load inside still exceeds
     the greatest outside. All prefixes are judged at once: an edge between blocks i < j moves for prefixes i .. j - 1,
-    so loads change only at block borders, and minima and maxima per block follow by prefix windows.
+    so a node's load is constant over spans of prefixes, as many as it has neighbour blocks.
     """
     r = loads(alpha)
     ba, bb = member.select(F.col("node").alias("src"), F.col("block").alias("ia")), member.select(F.col("node").alias("dst"), F.col("block").alias("ib"))
     cross = runtime.materialize(alpha.join(ba, "src").join(bb, "dst").filter("ia <> ib"), "cross")
+    last = member.agg(F.max("block")).first()[0]
+    if last is None:
+        return alpha.sparkSession.createDataFrame([], "block int, stable boolean")
     inner = F.col("ia") < F.col("ib")
-    lost = cross.select(F.when(inner, F.col("src")).otherwise(F.col("dst")).alias("node"), F.when(inner, F.col("a")).otherwise(F.col("b")).alias("moved"), F.least("ia", "ib").alias("from"), F.greatest("ia", "ib").alias("to"))
-    ends = lost.groupBy("node", "to").agg(F.sum("moved").alias("moved"))
+
+    def side(inside: bool) -> DataFrame:
+        """(node, at, moved): what the edges to the blocks ``at`` move away from a node, or to it."""
+        near, far = ("src", "dst"), ("dst", "src")
+        node, other = near if inside else far
+        cols = (F.when(inner, F.col(node)).otherwise(F.col(other)).alias("node"), F.greatest("ia", "ib").alias("to"), F.least("ia", "ib").alias("from"), F.when(inner, F.col("a")).otherwise(F.col("b")).alias("moved"))
+        return cross.select(*cols).groupBy("node", F.col("to" if inside else "from").alias("at")).agg(F.sum("moved").alias("moved"))
+
     placed = r.join(member, "node")
-    n_blocks = member.agg(F.max("block")).first()[0]
-    if n_blocks is None:
-        return alpha.sparkSession.createDataFrame([], "block int, stable boolean")
-    # A node inside prefix k loses the shares of its edges to blocks beyond k.
-    border = placed.join(ends.withColumnRenamed("to", "at"), "node").withColumn("k", F.explode(F.sequence(F.col("block"), F.col("at") - 1)))
-    after = border.groupBy("node", "block", "load", "k").agg(F.sum("moved").alias("gone")).select("k", (F.col("load") - F.col("gone")).alias("v"))
-    kept = placed.withColumn("k", F.explode(F.sequence(F.col("block"), F.lit(n_blocks)))).join(border.select("node", "k").distinct(), ["node", "k"], "left_anti").select("k", F.col("load").alias("v"))
-    low = after.unionByName(kept).groupBy("k").agg(F.min("v").alias("low"))
-    got = cross.select(F.when(inner, F.col("dst")).otherwise(F.col("src")).alias("node"), F.when(inner, F.col("a")).otherwise(F.col("b")).alias("moved"), F.least("ia", "ib").alias("from"), F.greatest("ia", "ib").alias("to"))
-    gains = got.withColumn("k", F.explode(F.sequence(F.col("from"), F.col("to") - 1))).groupBy("node", "k").agg(F.sum("moved").alias("gain"))
-    outside = placed.filter("block > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("block") - 1))).join(gains, ["node", "k"], "left").select("k", (F.col("load") + F.coalesce("gain", F.lit(0.0))).alias("v"))
-    high = outside.groupBy("k").agg(F.max("v").alias("high"))
+    order = Window.partitionBy("node").orderBy("at")  # at most a row a block
+    # Inside: from its own block on, a node lacks what goes to blocks beyond the prefix; a step at each of those blocks.
+    lost = side(True)
+    steps = lost.withColumn("nxt", F.lead("at").over(order)).withColumn("beyond", F.coalesce(F.sum("moved").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)))
+    first = lost.groupBy("node").agg(F.min("at").alias("at"), F.sum("moved").alias("all"))
+    inside = placed.join(first, "node", "left").select(F.col("block").alias("lo"), F.coalesce(F.col("at") - 1, F.lit(last)).alias("hi"), (F.col("load") - F.coalesce("all", F.lit(0.0))).alias("v"))
+    inside = inside.unionByName(placed.join(steps, "node").select(F.col("at").alias("lo"), F.coalesce(F.col("nxt") - 1, F.lit(last)).alias("hi"), (F.col("load") - F.col("beyond")).alias("v")))
+    # Outside: before its own block, a node has what comes from the blocks of the prefix.
+    gained = side(False)
+    steps = gained.withColumn("nxt", F.lead("at").over(order)).withColumn("upto", F.sum("moved").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    begin = gained.groupBy("node").agg(F.min("at").alias("at"))
+    outside = placed.join(begin, "node", "left").select(F.lit(0).alias("lo"), (F.coalesce("at", "block") - 1).alias("hi"), F.col("load").alias("v"))
+    outside = outside.unionByName(placed.join(steps, "node").select(F.col("at").alias("lo"), (F.coalesce("nxt", "block") - 1).alias("hi"), (F.col("load") + F.col("upto")).alias("v")))
+
+    def by_prefix(spans: DataFrame, figure) -> DataFrame:
+        """Spans are reduced per pair of bounds before they are spread over prefixes."""
+        few = spans.filter("lo <= hi").groupBy("lo", "hi").agg(figure("v").alias("v"))
+        return few.select(F.explode(F.sequence("lo", "hi")).alias("k"), "v").groupBy("k").agg(figure("v").alias("v"))
+
+    low, high = by_prefix(inside, F.min).withColumnRenamed("v", "low"), by_prefix(outside, F.max).withColumnRenamed("v", "high")
     return low.join(high, "k", "left").select(F.col("k").alias("block"), (F.col("high").isNull() | (F.col("low") > F.col("high"))).alias("stable"))
 
 

@@ -96,8 +96,8 @@ def _sketch_sql(edges: str, tag: str, hops: int, nodes: str = "n") -> str:
 
 
 SK = BASE + ", " + _sketch_sql("s", "h", 2)
-PAIRS = "pr as (select a.node node_a, b.node node_b, count(*) / 16.0 similarity from h2 a join h2 b on a.slot = b.slot and a.v = b.v and a.node < b.node group by all having count(*) >= 12)"
-NEAR = "nb as (select * from (select node, neighbour, distance, row_number() over (partition by node order by distance, neighbour) k from (select node_a node, node_b neighbour, 1 - similarity distance from pr union all select node_b, node_a, 1 - similarity from pr)) where k <= 5)"
+PAIRS = "pr as (select a.node node_a, b.node node_b, count(*) / 16.0 similarity from h2 a join h2 b on a.slot = b.slot and a.v = b.v and a.node < b.node group by all having count(*) >= 15)"
+NEAR = "nb as (select * from (select a.node, b.node neighbour, 1 - count(*) / 16.0 distance, row_number() over (partition by a.node order by count(*) desc, b.node) k from h2 a join h2 b on a.slot = b.slot and a.v = b.v and a.node <> b.node where a.node % 50 = 0 group by a.node, b.node having count(*) >= 12) where k <= 5)"
 
 
 # Loading and normalisation
@@ -222,18 +222,21 @@ def sketch_vectors(spark, d):
     return sketch.embed(graph(spark, d, False), P).vectors
 
 
-def _pairs(spark, d) -> DataFrame:
-    return sketch.similar_pairs(sketch.embed(graph(spark, d, False), P).vectors, P.dim, CLOSE)
+def _near(spark, d) -> DataFrame:
+    v = sketch.embed(graph(spark, d, False), P).vectors
+    return sketch.nearest_of(v, v.filter("node % 50 = 0"), P.dim, CLOSE, KNN)
 
 
-@query(f"{SK}, {PAIRS} select * from pr")
-def sketch_jaccard_pairs(spark, d):
-    return _pairs(spark, d)
+@query(f"""{SK}, v as (select l, min(node) c, count(*) n from (select node, list(v order by slot) l from h2 group by node) group by l), x as (select h2.*, n from h2 join v on c = node)
+select a.node class_a, b.node class_b, a.n copies_a, b.n copies_b, count(*) / 16.0 similarity from x a join x b on a.slot = b.slot and a.v = b.v and a.node < b.node group by all having count(*) >= 15""")
+def sketch_similar_classes(spark, d):
+    return sketch.similar_classes(sketch.embed(graph(spark, d, False), P).vectors, P.dim, 15 / 16)
 
 
-@query(f"{SK}, {PAIRS}, {NEAR} select node, neighbour, distance, k::int rank from nb")
+@query(f"{SK}, {NEAR} select node, neighbour, distance, k::int rank from nb")
 def sketch_knn(spark, d):
-    return sketch.nearest(_pairs(spark, d), KNN)
+    """Queries are the nodes whose id is divisible by 50, against all nodes."""
+    return _near(spark, d)
 
 
 def _directed(spark, d):
@@ -407,7 +410,7 @@ h as (select count(*) found, count(*) filter (exists (from sp where deleted and
 select found, hits, round(hits / greatest(found, 1), 9) as "precision", round(hits / greatest(least(n, found), 1), 9) recall from h, x""")
 def precision_at_50(spark, d):
     _, s, e = _trained(spark, d)
-    return rounded(lp.precision(sketch.similar_pairs(e.vectors, P.dim, CLOSE), s), "precision", "recall", digits=9)
+    return rounded(lp.precision(sketch.similar_pairs(e.vectors, P.dim, 15 / 16, copies=116), s), "precision", "recall", digits=9)
 
 
 def _sampled_neighbours(spark, d):
@@ -537,18 +540,18 @@ def transition_kl(spark, d):
 
 
 def _stats(spark, d):
-    return density.in_out_stats(sketch.nearest(_pairs(spark, d), KNN), blocks(spark, d))
+    return density.in_out_stats(_near(spark, d), blocks(spark, d))
 
 
 STATS = "x as (select a.block, count(*) n, avg(distance) mean, avg(case when b.block <= a.block then distance end) mean_in, avg(case when b.block > a.block then distance end) mean_out, min(case when a.block = b.block and distance > 0 then distance end) min_in_block from nb join mb a on a.node = nb.node join mb b on b.node = neighbour group by a.block)"
 
 
-@query(f"{SK}, {PAIRS}, {NEAR}, {MB}, {STATS} select block, n, round(mean, 9) mean, round(mean_in, 9) mean_in, round(mean_out, 9) mean_out, min_in_block from x")
+@query(f"{SK}, {NEAR}, {MB}, {STATS} select block, n, round(mean, 9) mean, round(mean_in, 9) mean_in, round(mean_out, 9) mean_out, min_in_block from x")
 def block_in_out_stats(spark, d):
     return rounded(_stats(spark, d), "mean", "mean_in", "mean_out", digits=9)
 
 
-@query(f"{SK}, {PAIRS}, {NEAR}, {MB}, {STATS}, v as (select quantile_cont(mean_in / mean_out, {list(density.BLOCK_QUANTILES)}) v from x where mean_out > 0 and mean_in is not null) select unnest({list(density.BLOCK_QUANTILES)})::double q, round(unnest(v), 9) ratio from v")
+@query(f"{SK}, {NEAR}, {MB}, {STATS}, v as (select quantile_cont(mean_in / mean_out, {list(density.BLOCK_QUANTILES)}) v from x where mean_out > 0 and mean_in is not null) select unnest({list(density.BLOCK_QUANTILES)})::double q, round(unnest(v), 9) ratio from v")
 def block_ratio_quantiles(spark, d):
     return rounded(density.ratio_quantiles(_stats(spark, d)), "ratio", digits=9)
 

@@ -198,3 +198,20 @@ def test_dense_nearest(spark):
         if r.id < 80:
             assert np.argsort(-s[r.id])[r["rank"] - 1] == r.neighbour
     assert dense.nearest_to(df, df.filter("id > 999"), "id", "v", 3).collect() == []
+
+
+def test_nearest_of_and_classes(spark):
+    rng = np.random.default_rng(6)
+    v = rng.integers(0, 3, (120, 8))
+    v[20:60] = v[20]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "node long, vec array<long>")
+    got = {}
+    for r in sketch.nearest_of(df, df.filter("node % 7 = 0"), 8, 0.5, 4).orderBy("node", "rank").collect():
+        got.setdefault(r.node, []).append((r.distance, r.neighbour))
+    for i in range(0, 120, 7):
+        want = sorted((1 - (v[i] == v[j]).mean(), j) for j in range(120) if j != i and (v[i] == v[j]).mean() >= 0.5)[:4]
+        assert got.get(i, []) == want
+    first = {tuple(x): min(j for j in range(120) if (v[j] == x).all()) for x in v}
+    reps = sorted(set(first.values()))
+    want = {(a, b) for k, a in enumerate(reps) for b in reps[k + 1 :] if (v[a] == v[b]).mean() >= 0.75}
+    assert {(r.class_a, r.class_b) for r in sketch.similar_classes(df, 8, 0.75).collect()} == want

@@ -121,28 +121,36 @@ class Isotonic:
         return y1 + (y2 - y1) * (x - x1) / (x2 - x1)
 
 
+def _celled(density: DataFrame, buckets: int) -> DataFrame:
+    """``density`` with the cell of each node's load, greatest loads first."""
+    span = density.agg(F.min("load").alias("_lo"), F.max("load").alias("_hi"))
+    cell = F.floor((F.col("_hi") - F.col("load")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-12)) * (buckets - 1)).cast("int")
+    return density.join(F.broadcast(span)).withColumn("cell", cell).drop("_lo", "_hi")  # span is one row
+
+
 def blocks_of_density(density: DataFrame, buckets: int = 4096) -> DataFrame:
-    """(block, lo, hi, n, y): blocks of the decreasing isotonic regression of density over nodes in decreasing load.
+    """(block, lo, hi, n, y, first_cell, last_cell): the decreasing isotonic regression of density over nodes in decreasing load.
 
     Nodes are sorted into at most ``buckets`` cells of equal load range, whose weighted centroids are pooled on the
     driver: a bounded number of points whatever the number of nodes. ``density`` (node, load, y).
     """
-    span = density.agg(F.min("load").alias("lo"), F.max("load").alias("hi"))
-    cell = F.floor((F.col("hi") - F.col("load")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12)) * (buckets - 1)).cast("int")
-    cells = density.join(F.broadcast(span)).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y"), F.min("load").alias("lo"), F.max("load").alias("hi"))  # span is one row
+    cells = _celled(density, buckets).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y"), F.min("load").alias("lo"), F.max("load").alias("hi"))
     rows = cells.orderBy("cell").collect()  # at most ``buckets`` rows
-    spark = density.sparkSession
+    spark, kind = density.sparkSession, "block int, lo double, hi double, n long, y double, first_cell int, last_cell int"
     if not rows:
-        return spark.createDataFrame([], "block int, lo double, hi double, n long, y double")
+        return spark.createDataFrame([], kind)
     fit = Isotonic([r.cell for r in rows], [r.y for r in rows], [r.n for r in rows], ascending=False)
-    out = [(k, min(rows[i].lo for i in range(b.first, b.last + 1)), max(rows[i].hi for i in range(b.first, b.last + 1)), sum(rows[i].n for i in range(b.first, b.last + 1)), b.y) for k, b in enumerate(fit.blocks)]
-    return spark.createDataFrame(out, "block int, lo double, hi double, n long, y double")
+    out = []
+    for k, b in enumerate(fit.blocks):
+        own = rows[b.first : b.last + 1]
+        out.append((k, min(r.lo for r in own), max(r.hi for r in own), sum(r.n for r in own), b.y, own[0].cell, own[-1].cell))
+    return spark.createDataFrame(out, kind)
 
 
-def node_blocks(density: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(node, block): the block whose load range holds the node. ``blocks`` has at most some thousand rows."""
-    d = density.join(F.broadcast(blocks.select("block", "lo", "hi")), (F.col("load") >= F.col("lo")) & (F.col("load") <= F.col("hi")))
-    return d.groupBy("node").agg(F.min("block").alias("block"))
+def node_blocks(density: DataFrame, blocks: DataFrame, buckets: int = 4096) -> DataFrame:
+    """(node, block) by the cell of the node's load, an equi-join with at most ``buckets`` cells."""
+    of_cell = blocks.select("block", F.explode(F.sequence("first_cell", "last_cell")).alias("cell"))
+    return _celled(density, buckets).join(F.broadcast(of_cell), "cell").select("node", "block")
 
 
 def stable_prefixes(alpha: DataFrame, member: DataFrame) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphweft import runtime
 from graphweft.model import Graph
 
 BLOCK_QUANTILES = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
+CLOSE = 1e-6  # loads so near are equal
 
 
 def half_edges(g: Graph) -> DataFrame:
@@ -47,10 +51,11 @@ def balance_step(alpha: DataFrame, t: int) -> DataFrame:
 
 
 def balance(edges: DataFrame, steps: int, first: int = 1) -> DataFrame:
-    """The split after ``steps`` steps; lineage is cut after each."""
+    """The split after ``steps`` steps; lineage is cut after each, and the split before it deleted."""
     alpha = runtime.materialize(start_split(edges), "split")
     for t in range(first, first + steps):
-        alpha = runtime.materialize(balance_step(alpha, t), "split")
+        before, alpha = alpha, runtime.materialize(balance_step(alpha, t), "split")
+        runtime.discard(before)
     return alpha
 
 
@@ -121,36 +126,64 @@ class Isotonic:
         return y1 + (y2 - y1) * (x - x1) / (x2 - x1)
 
 
-def _celled(density: DataFrame, buckets: int) -> DataFrame:
-    """``density`` with the cell of each node's load, greatest loads first."""
-    span = density.agg(F.min("load").alias("_lo"), F.max("load").alias("_hi"))
-    cell = F.floor((F.col("_hi") - F.col("load")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-12)) * (buckets - 1)).cast("int")
-    return density.join(F.broadcast(span)).withColumn("cell", cell).drop("_lo", "_hi")  # span is one row
+def _tied(points: list[tuple]) -> list[tuple]:
+    """Points (lo, hi, n, total) in decreasing load, those within ``CLOSE`` of the one before made one with it."""
+    out = []
+    for lo, hi, n, total in points:
+        if out and out[-1][0] - hi <= CLOSE:
+            _, hi, m, more = out.pop()
+            n, total = n + m, total + more
+        out.append((lo, hi, n, total))
+    return out
+
+
+def _pooled(points: list[tuple]) -> list[tuple]:
+    """Adjacent points (lo, hi, n, total) pooled until their means total / n strictly decrease."""
+    out = []
+    for lo, hi, n, total in points:
+        while out and total / n >= out[-1][3] / out[-1][2]:
+            _, hi, m, more = out.pop()
+            n, total = n + m, total + more
+        out.append((lo, hi, n, total))
+    return out
+
 
+def _pool_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a range of loads. Its first and last ties may go on in the ranges beside it, so they aren't pooled here."""
+    points = _tied([(x, x, n, y) for b in batches for x, n, y in zip(*(c.to_pylist() for c in b.columns))])
+    kept = points[:1] + _pooled(points[1:-1]) + points[1:][-1:]
+    cols = list(zip(*kept)) or [(), (), (), ()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.float64(), pa.float64(), pa.int64(), pa.float64()))], names=["lo", "hi", "n", "total"])
 
-def blocks_of_density(density: DataFrame, buckets: int = 4096) -> DataFrame:
-    """(block, lo, hi, n, y, first_cell, last_cell): the decreasing isotonic regression of density over nodes in decreasing load.
 
-    Nodes are sorted into at most ``buckets`` cells of equal load range, whose weighted centroids are pooled on the
-    driver: a bounded number of points whatever the number of nodes. ``density`` (node, load, y).
+def blocks_of_density(density: DataFrame) -> DataFrame:
+    """(block, lo, hi, n, y): the decreasing isotonic regression of density over nodes in decreasing load, exactly.
+
+    Only loads within ``CLOSE`` of each other are one point. Points are pooled inside ranges of loads, then the blocks
+    left of all ranges on the driver: contiguous runs may be pooled first, the regression stays the same.
+    ``density`` (node, load, y).
     """
-    cells = _celled(density, buckets).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y"), F.min("load").alias("lo"), F.max("load").alias("hi"))
-    rows = cells.orderBy("cell").collect()  # at most ``buckets`` rows
-    spark, kind = density.sparkSession, "block int, lo double, hi double, n long, y double, first_cell int, last_cell int"
-    if not rows:
-        return spark.createDataFrame([], kind)
-    fit = Isotonic([r.cell for r in rows], [r.y for r in rows], [r.n for r in rows], ascending=False)
-    out = []
-    for k, b in enumerate(fit.blocks):
-        own = rows[b.first : b.last + 1]
-        out.append((k, min(r.lo for r in own), max(r.hi for r in own), sum(r.n for r in own), b.y, own[0].cell, own[-1].cell))
-    return spark.createDataFrame(out, kind)
+    spark = density.sparkSession
+    runtime.ship(spark)
+    points = density.groupBy("load").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("total"))
+    ranges = points.repartitionByRange(F.desc("load")).sortWithinPartitions(F.desc("load"))
+    rows = ranges.mapInArrow(_pool_range, "lo double, hi double, n long, total double").collect()
+    fit = _pooled(_tied(sorted(map(tuple, rows), key=lambda r: -r[1])))
+    return spark.createDataFrame([(k, lo, hi, n, total / n) for k, (lo, hi, n, total) in enumerate(fit)], "block int, lo double, hi double, n long, y double")
+
 
+def node_blocks(density: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(node, block) by the least loads of the blocks, looked up for whole batches."""
+    spark = density.sparkSession
+    runtime.ship(spark)
+    least = spark.sparkContext.broadcast(np.array([-r.lo for r in blocks.orderBy("block").select("lo").collect()]))
 
-def node_blocks(density: DataFrame, blocks: DataFrame, buckets: int = 4096) -> DataFrame:
-    """(node, block) by the cell of the node's load, an equi-join with at most ``buckets`` cells."""
-    of_cell = blocks.select("block", F.explode(F.sequence("first_cell", "last_cell")).alias("cell"))
-    return _celled(density, buckets).join(F.broadcast(of_cell), "cell").select("node", "block")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.searchsorted(least.value, -b.column(1).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.int32())], names=["node", "block"])
+
+    return density.select("node", "load").mapInArrow(place, T.StructType([density.schema["node"], T.StructField("block", T.IntegerType())]))
 
 
 def stable_prefixes(alpha: DataFrame, member: DataFrame) -> DataFrame:
@@ -190,13 +223,23 @@ def stable_prefixes(alpha: DataFrame, member: DataFrame) -> DataFrame:
     outside = placed.join(begin, "node", "left").select(F.lit(0).alias("lo"), (F.coalesce("at", "block") - 1).alias("hi"), F.col("load").alias("v"))
     outside = outside.unionByName(placed.join(steps, "node").select(F.col("at").alias("lo"), (F.coalesce("nxt", "block") - 1).alias("hi"), (F.col("load") + F.col("upto")).alias("v")))
 
-    def by_prefix(spans: DataFrame, figure) -> DataFrame:
-        """Spans are reduced per pair of bounds before they are spread over prefixes."""
-        few = spans.filter("lo <= hi").groupBy("lo", "hi").agg(figure("v").alias("v"))
-        return few.select(F.explode(F.sequence("lo", "hi")).alias("k"), "v").groupBy("k").agg(figure("v").alias("v"))
-
-    low, high = by_prefix(inside, F.min).withColumnRenamed("v", "low"), by_prefix(outside, F.max).withColumnRenamed("v", "high")
-    return low.join(high, "k", "left").select(F.col("k").alias("block"), (F.col("high").isNull() | (F.col("low") > F.col("high"))).alias("stable"))
+    def by_prefix(spans: DataFrame, figure, best, none: float) -> np.ndarray:
+        """The least or greatest of the spans over each prefix. Any span is two of a power of two, so at most a row per
+        block and power is left, and each power is handed down to its halves."""
+        long = F.length(F.bin(F.col("hi") - F.col("lo") + 1)) - 1
+        cells = spans.filter("lo <= hi").select(long.alias("level"), "lo", "hi", "v").select("level", F.explode(F.array(F.col("lo"), F.expr("hi + 1 - shiftleft(1, level)"))).alias("at"), "v")
+        rows = cells.groupBy("level", "at").agg(figure("v").alias("v")).collect()
+        v = np.full((int(last + 1).bit_length(), last + 1), none)
+        for r in rows:
+            v[r.level, r["at"]] = r.v
+        for level in range(len(v) - 1, 0, -1):
+            half = 1 << (level - 1)
+            v[level - 1] = best(v[level - 1], v[level])
+            v[level - 1, half:] = best(v[level - 1, half:], v[level, :-half])
+        return v[0]
+
+    low, high = by_prefix(inside, F.min, np.minimum, np.inf), by_prefix(outside, F.max, np.maximum, -np.inf)
+    return alpha.sparkSession.createDataFrame([(k, bool(low[k] > high[k])) for k in range(last + 1)], "block int, stable boolean")
 
 
 def merge_unstable(member: DataFrame, stable: DataFrame) -> DataFrame:

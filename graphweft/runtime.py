@@ -72,6 +72,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table of :func:`materialize` that nothing reads any more."""
+    names = {os.path.basename(os.path.dirname(f)) for f in df.inputFiles()}
+    for made in [m for m in _made if os.path.basename(m[1]) in names]:
+        _made.remove(made)
+        _remove(*made)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

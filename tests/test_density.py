@@ -87,3 +87,65 @@ def test_transitions_sum_to_one(spark, planted):
         sums[r.i] = sums.get(r.i, 0) + r.p
     assert all(abs(s - 1) < 1e-9 for s in sums.values())
     assert all(abs(r.kl) < 1e-12 for r in density.transition_kl(t, t).collect())
+
+
+def brute_force(points, close=1e-6):
+    """(lo, hi, n, mean) of the decreasing regression of (load, y): ties first, then violators until there are none."""
+    groups = []
+    for x, y in sorted(points, reverse=True):
+        if groups and groups[-1][-1][0] - x <= close:
+            groups[-1].append((x, y))
+        else:
+            groups.append([(x, y)])
+    mean = lambda g: sum(y for _, y in g) / len(g)
+    k = 1
+    while k < len(groups):
+        if mean(groups[k]) >= mean(groups[k - 1]):
+            groups[k - 1 : k + 1] = [groups[k - 1] + groups[k]]
+            k = max(1, k - 1)
+        else:
+            k += 1
+    return [(min(g)[0], max(g)[0], len(g), mean(g)) for g in groups]
+
+
+@pytest.mark.parametrize("hub", [1e7, 3.0])
+def test_regression_under_a_hub_against_brute_force(spark, hub):
+    rng = np.random.default_rng(2)
+    load = np.round(rng.exponential(1.0, 1500), 3) + rng.choice([0, 4e-7], 1500)
+    points = [(float(x), float(y)) for x, y in zip(load, np.round(load * 4 + rng.normal(0, 1, 1500)))] + [(hub, 50.0)]
+    frame = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)], "node long, load double, y double")
+    want = brute_force(points)
+    assert len(want) > 15
+    blocks = density.blocks_of_density(frame)
+    got = [(r.lo, r.hi, r.n, r.y) for r in blocks.orderBy("block").collect()]
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want])
+    of = {r.node: r.block for r in density.node_blocks(frame, blocks).collect()}
+    assert all(want[of[i]][0] <= x <= want[of[i]][1] for i, (x, _) in enumerate(points)) and len(of) == len(points)
+
+
+def test_ties_across_ranges_are_one_point(spark):
+    points = [(5 + 5e-7 * i, float(i % 7)) for i in range(300)] + [(4.0, 2.5), (3.0, 9.0), (2.0, 1.0)]
+    frame = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)], "node long, load double, y double")
+    got = [(r.lo, r.hi, r.n) for r in density.blocks_of_density(frame).orderBy("block").collect()]
+    assert got == [w[:3] for w in brute_force(points)]
+    assert density.blocks_of_density(frame.filter("node < 0")).collect() == []
+
+
+def test_stability_of_many_blocks_against_brute_force(spark, planted):
+    alpha = density.balance(density.half_edges(planted), 2)
+    load = {r.node: r.load for r in density.loads(alpha).collect()}
+    member = {n: k for k, n in enumerate(sorted(load, key=lambda n: (-load[n], n)))}
+    frame = spark.createDataFrame(list(member.items()), "node long, block int")
+    got = {r.block: r.stable for r in density.stable_prefixes(alpha, frame).collect()}
+    rows = alpha.collect()
+    assert len(got) == len(member)
+    for k in range(len(member)):
+        r = dict(load)
+        for e in rows:
+            if member[e.src] <= k < member[e.dst]:
+                r[e.src], r[e.dst] = r[e.src] - e.a, r[e.dst] + e.a
+            if member[e.dst] <= k < member[e.src]:
+                r[e.dst], r[e.src] = r[e.dst] - e.b, r[e.src] + e.b
+        inside, outside = [v for n, v in r.items() if member[n] <= k], [v for n, v in r.items() if member[n] > k]
+        if outside and abs(min(inside) - max(outside)) > 1e-9:
+            assert got[k] == (min(inside) > max(outside)), k

@@ -1,8 +1,10 @@
 """Text decoded with a wrong character encoding: find the records and restore them, by noisy-channel decoding.
 
 Only runs matter: stretches of ASCII letters and non-ASCII characters that hold a non-ASCII character. The corpus gives
-each run its number of documents; runs of at least a share ``COMMON`` of the documents are the word model, their
-character pairs the pair model, both of bounded size at any number of documents. Each other distinct run is decoded
+each run its number of distinct texts, so copies of a text count once; runs of at least a share ``COMMON`` of them are
+the word model, their character pairs the pair model, both of bounded size at any number of documents. If a misreading
+turns several common words into other words less common than they are, a source is damaged throughout: its runs are left out of both models
+and don't speak for themselves (as long as such texts are fewer than sound ones with the same words). Each other distinct run is decoded
 once: a lattice over its characters has arcs for bytes of a multi-byte character read one by one under any of the
 ``READ_AS`` encodings, for wildcards where bytes were lost (U+FFFD), and whole-run arcs for one single-byte encoding
 read as another; a beam Viterbi search takes the best path under the pair model, word frequencies decide.
@@ -33,6 +35,8 @@ WRITTEN_AS = ("cp1252", "cp1251", "koi8_r", "cp866", "mac_roman", "cp437", "cp85
 #: Least share of documents of a run of the word model and of a common pair; how much commoner a decoding must be than the run.
 COMMON, FAIR, FAR = 1 / 5000, 1 / 1000, 20.0
 PIECE, CHARS, BEAM = 64, 4_000_000, 12
+#: So many common words misread in one way show a source that is damaged throughout.
+WITNESSES = 3
 LOST = "�"
 
 
@@ -105,8 +109,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Decoder:
     """Word and pair model, and the search."""
 
-    def __init__(self, total: int, words: dict[str, int], pairs: dict[str, int]):
-        self.total, self.words = total, words
+    def __init__(self, total: int, words: dict[str, int], pairs: dict[str, int], spoiled: frozenset[str] = frozenset()):
+        self.total, self.words, self.spoiled = total, words, spoiled
         self.least = max(2.0, COMMON * total)
         single: Counter[str] = Counter()
         for p, n in pairs.items():
@@ -201,6 +205,8 @@ class Decoder:
 
     def decode(self, w: str, n: int) -> tuple[bool, str | None]:
         """Whether the run is damaged, and its restoration if there is one."""
+        if w in self.spoiled:
+            n = 0  # its number only tells how large the damaged source is
         sure = any(c == LOST or "\x80" <= c <= "\x9f" for c in w)
         best, arcs = self.search(w)
         top, layer, seen = self.cost(best) + math.log1p(self.words.get(best, 0)), {w}, {w}
@@ -238,6 +244,69 @@ class Decoder:
         return sure, None
 
 
+def _undone(w: str, kinds: set | None = None) -> Iterator[tuple[tuple[str, str], str]]:
+    """Misreadings (read, written) and the run with each of them undone; only those of ``kinds`` if given."""
+    odd = [c for c in w if ord(c) > 127]
+    for read in READ_AS:
+        if kinds is None or (read, "utf-8") in kinds:
+            x = w
+            for _ in range(3):  # text that was damaged more than once
+                r = Decoder._peel(x, read)
+                if r == x:
+                    break
+                yield (read, "utf-8"), r
+                x = r
+        back = _codec(read)[0]
+        if all(c in back for c in odd):
+            for written in WRITTEN_AS:
+                if written != read and (kinds is None or (read, written) in kinds):
+                    r = w.translate(_single(read, written))
+                    if r != w:
+                        yield (read, written), r
+
+
+def _telling(w: str, r: str) -> bool:
+    """The undone run is a word and not the run in other letters of case."""
+    return len(r) >= 4 and r.isalpha() and r.casefold() != w.casefold()
+
+
+def _witnesses(batches: Iterator[pa.RecordBatch], words) -> Iterator[pa.RecordBatch]:
+    """(run, read, written): common runs that a misreading makes of commoner words."""
+    f = words.value
+    for batch in batches:
+        rows = {(w, *kind) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for kind, r in _undone(w) if f.get(r, 0) > n and _telling(w, r)}
+        cols = list(zip(*rows)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["run", "read", "written"])
+
+
+def _sound(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """The runs that stay in the models: those the misreadings of damaged sources didn't make of likelier words."""
+    total, words, pairs, spoiled, kinds = model.value
+    single: Counter[str] = Counter()
+    for p, n in pairs.items():
+        single[p[0]] += n
+
+    def weight(w: str) -> float:
+        w = f"\n{w}\n"
+        return sum(math.log(pairs.get(w[i : i + 2], 0.5)) for i in range(len(w) - 1))
+
+    def damaged(w: str, n: int) -> bool:
+        for (_, written), r in _undone(w, kinds):
+            if _telling(w, r) and (words.get(r, 0) > n or (all(c.isascii() or single[c] >= 5 * FAIR * total for c in r) if written == "utf-8" else weight(r) > weight(w) + 1)):
+                return True
+        return w in spoiled
+
+    for batch in batches:
+        keep = [not damaged(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def _pairs(vocabulary: DataFrame, total: int) -> dict[str, int]:
+    edged = F.concat(F.lit("\n"), "run", F.lit("\n"))
+    pairs = vocabulary.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(edged) - 1), lambda i: edged.substr(i, F.lit(2)))).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
+    return {r.pair: r.n for r in pairs.filter(F.col("n") >= max(1.0, COMMON * total / 20)).collect()}
+
+
 def _decode(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     decoder = Decoder(*model.value)
     for batch in batches:
@@ -266,20 +335,29 @@ def damaged_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     runtime.ship(spark)
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    vocabulary = runtime.materialize(picked.select("text").mapInArrow(_count, "run string, n long").groupBy("run").agg(F.sum("n").alias("n")), "runs")
+    # Copies of a text say nothing more about the language.
+    vocabulary = runtime.materialize(picked.select("text").distinct().mapInArrow(_count, "run string, n long").groupBy("run").agg(F.sum("n").alias("n")), "runs")
     total = vocabulary.filter("run = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     vocabulary = vocabulary.filter("run <> ''")
     least = max(2.0, COMMON * total)
     # At most runs-per-document / COMMON rows, at any number of documents.
-    words = {r.run: r.n for r in vocabulary.filter(F.col("n") >= least).collect()}
-    edged = F.concat(F.lit("\n"), "run", F.lit("\n"))
-    pairs = vocabulary.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(edged) - 1), lambda i: edged.substr(i, F.lit(2)))).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = {r.pair: r.n for r in pairs.filter(F.col("n") >= max(1.0, COMMON * total / 20)).collect()}
-    model = spark.sparkContext.broadcast((total, words, pairs))
+    common = {r.run: r.n for r in vocabulary.filter(F.col("n") >= least).collect()}
+    words, pairs = common, _pairs(vocabulary, total)
     spread = vocabulary.repartition(max(spark.sparkContext.defaultParallelism, vocabulary.rdd.getNumPartitions()), "run")  # a small table, much work a row
+    known = spark.sparkContext.broadcast(words)
+    seen = defaultdict(set)
+    for r in spread.filter(F.col("n") >= least).mapInArrow(lambda b: _witnesses(b, known), "run string, read string, written string").collect():  # common runs only
+        seen[r.read, r.written].add(r.run)
+    kinds = {kind for kind, own in seen.items() if len(own) >= WITNESSES}
+    spoiled = frozenset(w for kind in kinds for w in seen[kind])
+    if spoiled:
+        first = spark.sparkContext.broadcast((total, words, pairs, spoiled, kinds))
+        sound = runtime.materialize(spread.mapInArrow(lambda b: _sound(b, first), "run string, n long"), "sound")
+        words, pairs = {r.run: r.n for r in sound.filter(F.col("n") >= least).collect()}, _pairs(sound, total)
+    model = spark.sparkContext.broadcast((total, words, pairs, spoiled))
     damaged = runtime.materialize(spread.mapInArrow(lambda b: _decode(b, model), "run string, n long, restored string"), "damaged")
     wrong = {r.run for r in damaged.filter(F.col("n") >= least).select("run").collect()}
-    usual = spark.sparkContext.broadcast(frozenset(w for w in words if w not in wrong))
+    usual = spark.sparkContext.broadcast(frozenset(w for w in common if w not in wrong))
     rare = picked.mapInArrow(lambda b: _rare(b, usual), "doc_id long, run string")
     return rare.join(damaged.select("run", "restored"), "run"), damaged
 

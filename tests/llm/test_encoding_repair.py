@@ -50,3 +50,27 @@ def test_edge_cases(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " "), (4, "plain"), (5, "é" * 5000), (6, "�"), (6, "�")], "doc_id long, text string")
     assert {r.doc_id for r in encoding_repair.found(df).collect()} == {6}
     assert encoding_repair.found(df.filter("doc_id < 0")).collect() == []
+
+
+MISREAD = {
+    "cp1251 as cp1252": lambda t: t.encode("cp1251").decode("cp1252"),
+    "utf8 as cp1252": lambda t: t.encode().decode("cp1252", "ignore"),
+    "cp1252 as mac_roman": lambda t: t.encode("cp1252").decode("mac_roman"),
+}
+
+
+@pytest.mark.parametrize("kind, lang", [("cp1251 as cp1252", "ru"), ("utf8 as cp1252", "fr"), ("cp1252 as mac_roman", "de")])
+def test_copies_of_a_damaged_text_are_found(spark, kind, lang):
+    texts, bad = corpus(400), MISREAD[kind](CLEAN[lang].replace("à", "a").replace("’", "'"))
+    df = spark.createDataFrame(list(enumerate(texts + [bad] * 200)), "doc_id long, text string")
+    assert {r.doc_id for r in encoding_repair.found(df).collect()} == set(range(400, 600))
+
+
+@pytest.mark.parametrize("kind, lang", [("cp1251 as cp1252", "ru"), ("utf8 as cp1252", "fr"), ("cp1252 as mac_roman", "de")])
+def test_a_source_damaged_throughout_is_found(spark, kind, lang):
+    words, rng = CLEAN[lang].replace("à", "a").replace("’", "'").split(" "), random.Random(1)
+    texts, bad = corpus(400), [MISREAD[kind](" ".join(rng.sample(words, len(words)))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts + bad)), "doc_id long, text string")
+    assert {r.doc_id for r in encoding_repair.found(df).collect()} == set(range(400, 440))
+    long = {w for w in words if len(w) > 3}
+    assert all(long <= set(r.restored_text.split(" ")) for r in encoding_repair.restore(df).collect())

@@ -410,7 +410,7 @@ h as (select count(*) found, count(*) filter (exists (from sp where deleted and
 select found, hits, round(hits / greatest(found, 1), 9) as "precision", round(hits / greatest(least(n, found), 1), 9) recall from h, x""")
 def precision_at_50(spark, d):
     _, s, e = _trained(spark, d)
-    return rounded(lp.precision(sketch.similar_pairs(e.vectors, P.dim, 15 / 16, copies=116), s), "precision", "recall", digits=9)
+    return rounded(lp.precision(sketch.nearest_pairs(e.vectors, P.dim, 15 / 16, 50, s.filter("not deleted")), s, 50), "precision", "recall", digits=9)
 
 
 def _sampled_neighbours(spark, d):

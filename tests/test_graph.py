@@ -7,6 +7,7 @@ from graphweft import model
 from graphweft.model import Graph, HopeParams, SketchParams
 from graphweft.operators import cores, degrees, dense, labelled, normalize, sketch, spectral
 from graphweft.operators import link_prediction as lp
+from graphweft.plans import graph_queries
 
 TOY = [(1, 2, 1.0), (2, 3, 2.0), (1, 3, None), (3, 4, 1.0), (4, 5, 1.0), (5, 6, 1.0), (6, 7, 1.0), (7, 4, 1.0), (1, 2, 3.0), (8, 8, 1.0), (None, 1, 1.0), (2, None, 1.0), (5, 1, float("nan")), (5, 1, -1.0)]
 
@@ -215,3 +216,28 @@ def test_nearest_of_and_classes(spark):
     reps = sorted(set(first.values()))
     want = {(a, b) for k, a in enumerate(reps) for b in reps[k + 1 :] if (v[a] == v[b]).mean() >= 0.75}
     assert {(r.class_a, r.class_b) for r in sketch.similar_classes(df, 8, 0.75).collect()} == want
+
+
+def test_precision_with_many_train_edges_inside_a_class(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [7] * 16) for i in range(200)] + [(i, [i] * 16) for i in range(200, 230)], "node long, vec array<long>")
+    split = spark.createDataFrame([(0, j, 1.0, False) for j in range(1, 151)] + [(0, 151, 1.0, True), (0, 180, 1.0, True), (1, 2, 1.0, True), (1, 3, 1.0, True)], "src long, dst long, w double, deleted boolean")
+    monkeypatch.setattr(graph_queries, "_trained", lambda spark, d: (None, split, model.Embedding(vectors, gf.positional_distance, True)))
+    # The pairs of 0 with 151 to 199, then (1, 2).
+    assert [(r.found, r.hits) for r in graph_queries.precision_at_50(spark, "").collect()] == [(50, 3)]
+
+
+def test_nearest_pairs_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    v = np.repeat(rng.integers(0, 9, (4, 16)), 60, axis=0)
+    v[60:120] = v[0]
+    v[60:120, 3] = 99  # a class that agrees with the first in 15 slots
+    v = v[(order := rng.permutation(240))]
+    train = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 240, (6000, 2)) if a != b and min(a, b) < 12}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "node long, vec array<long>")
+    without = spark.createDataFrame([p if sum(p) % 2 else p[::-1] for p in train], "src long, dst long")
+    all_pairs = {(i, j): (v[i] == v[j]).mean() for i in range(240) for j in range(i + 1, 240) if (v[i] == v[j]).sum() >= 15}
+    pairs = sketch.nearest_pairs(df, 16, 15 / 16, 20, without)
+    got = [(r.node_a, r.node_b, r.similarity) for r in pairs.collect()]
+    assert len(got) == len({g[:2] for g in got}) and all(all_pairs[g[:2]] == g[2] for g in got)
+    best = lambda ps: sorted((p for p in ps if p[:2] not in train), key=lambda p: (-p[2], *p[:2]))[:20]
+    assert best(got) == best((*k, s) for k, s in all_pairs.items())

@@ -2,7 +2,7 @@
 
 Rows are first counted per (key, value), so a key of any number of rows becomes its distinct values with weights; the
 work of a hot key is spread over the hash of its values. Counts, distinct counts and modes then need one partial
-aggregation of weighted values. Percentiles rank weighted values in blocks of the value range, so no task holds a key.
+aggregation of weighted values. Percentiles rank weighted values inside nested cells of the value, so no task holds a key.
 
 Values are numbers. Defined results: rows with a null key are left out; null values are counted by ``rows`` but are no value; NaN is one
 value above all others; ties of the mode go to the smallest value; an empty table gives an empty result.
@@ -15,6 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphweft import runtime
+
+#: Width of the outer cells as a logarithm, parts of a cell, most levels of cells.
+_STEP, SPLIT, DEPTH = 0.02, 1024, 6
+
 
 def weigh(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, value, weight): each distinct value of each key once with its number of rows."""
@@ -30,23 +35,50 @@ def profile(weighted: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.select(*keys, "rows", "n_distinct", (-F.col("best.neg")).alias("mode"), F.coalesce("best.weight", F.lit(0)).cast("long").alias("mode_rows"))
 
 
-def percentiles(weighted: DataFrame, keys: Sequence[str], qs: Sequence[float], blocks: int = 256) -> DataFrame:
+def _cells(value: Column, depth: int) -> list[Column]:
+    """Nested cells of a number, by rule: its signed logarithmic bucket, then ``SPLIT`` equal parts of that, parts of
+    these, and so on. Cells of a level are in order of value; six levels tell any two doubles apart."""
+    v = value.cast("double")
+    size = F.abs(v)
+    i = F.ceil(F.log(size) / F.lit(_STEP))
+    cells = [F.when(v == 0, F.lit(0)).when(size == float("inf"), F.signum(v) * F.lit(1 << 20)).otherwise(F.signum(v) * (i + F.lit(1 << 18))).cast("long")]
+    lo, width = F.exp((i - 1) * F.lit(_STEP)), F.exp(i * F.lit(_STEP)) - F.exp((i - 1) * F.lit(_STEP))
+    rest = F.when((v == 0) | (size == float("inf")), F.lit(0.0)).otherwise(F.least(F.greatest(F.coalesce(F.try_divide(size - lo, width), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
+    rest = F.when(v < 0, F.lit(1.0) - rest).otherwise(rest)
+    for _ in range(1, depth):
+        part = F.least(F.floor(rest * SPLIT), F.lit(SPLIT - 1)).cast("long")
+        cells.append(part)
+        rest = rest * SPLIT - part
+    return cells
+
+
+def percentiles(weighted: DataFrame, keys: Sequence[str], qs: Sequence[float], limit: int = 100_000) -> DataFrame:
     """(keys, q, value): exact lower percentiles, the value at rank floor(q * (rows - 1)), of weighted values.
 
-    Two narrow passes: weights are summed per block of the key's value range, the block that holds the rank is found
-    from at most ``blocks`` sums, and only the values of that block are ranked.
+    Weights are summed per cell of the value, which needs no look at the key's other values; the cell that holds a rank
+    is found from the sums, and only its values are ranked. A wanted cell with more than ``limit`` distinct values is cut
+    into smaller ones first, so neither a key nor a narrow range of it is brought to one task.
     """
+    keys = list(keys)
     w = weighted.filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
-    span = w.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.sum("weight").alias("_rows"))
-    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * blocks)).otherwise(F.lit(0)).cast("int")
-    placed = w.join(span, list(keys)).withColumn("_block", place)
-    by_block = placed.groupBy(*keys, "_block").agg(F.sum("weight").alias("_in"), F.first("_rows").alias("_rows"))
-    upto = F.sum("_in").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0))
-    wanted = by_block.withColumn("_upto", upto).withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("_rank", F.floor(F.col("q") * (F.col("_rows") - 1)))
-    wanted = wanted.filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_in"))).select(*keys, "_block", "q", (F.col("_rank") - F.col("_upto") + F.col("_in")).alias("_rank"))
-    inner = F.sum("weight").over(Window.partitionBy(*keys, "_block").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = placed.join(wanted.select(*keys, "_block").distinct(), [*keys, "_block"], "left_semi").withColumn("_upto", inner)
-    hit = ranked.join(wanted, [*keys, "_block"]).filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("weight")))
+    rows = w.groupBy(*keys).agg(F.sum("weight").alias("_rows"))
+    wanted = rows.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).select(*keys, "q", F.floor(F.col("q") * (F.col("_rows") - 1)).alias("_rank"))
+    inside: list[str] = []
+    for depth in range(1, DEPTH + 1):
+        cell, within = f"_c{depth}", inside
+        celled = w.withColumns({f"_c{d + 1}": c for d, c in enumerate(_cells(F.col("value"), depth))})
+        if within:
+            celled = celled.join(wanted.select(*keys, *within).distinct(), [*keys, *within], "left_semi")
+        sums = celled.groupBy(*keys, *within, cell).agg(F.sum("weight").alias("_in"), F.count(F.lit(1)).alias("_values"))
+        upto = F.sum("_in").over(Window.partitionBy(*keys, *within).orderBy(cell).rowsBetween(Window.unboundedPreceding, 0))  # a row a cell
+        placed = sums.withColumn("_upto", upto).join(wanted.select(*keys, *within, "q", "_rank"), [*keys, *within]).filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_in")))
+        inside = [*within, cell]
+        wanted = runtime.materialize(placed.select(*keys, *inside, "q", (F.col("_rank") - F.col("_upto") + F.col("_in")).alias("_rank"), "_values"), "wanted")
+        if (wanted.agg(F.max("_values")).first()[0] or 0) <= limit:
+            break
+    ranks = F.sum("weight").over(Window.partitionBy(*keys, *inside).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = celled.join(wanted.select(*keys, *inside).distinct(), [*keys, *inside], "left_semi").withColumn("_upto", ranks)
+    hit = ranked.join(wanted.drop("_values"), [*keys, *inside]).filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("weight")))
     return hit.select(*keys, "q", "value")
 
 

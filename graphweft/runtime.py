@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
+import warnings
 import zipfile
 from pathlib import Path
 
@@ -32,9 +34,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset and all run here."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="graphweft-checkpoint-")
         atexit.register(shutil.rmtree, at[7:], True)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -48,8 +52,9 @@ def _remove(spark: SparkSession, path: str) -> None:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:
-        pass
+    except Exception as e:
+        if spark.sparkContext._jsc is not None:  # else the session is gone, and its JVM deletes on exit what is left
+            warnings.warn(f"{path} is left behind: {e}", stacklevel=2)
 
 
 @atexit.register
@@ -66,9 +71,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     so later passes read only the columns they need. Removed by :func:`release` or at the end of the process.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/graphweft/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -80,6 +84,15 @@ def discard(df: DataFrame) -> None:
         _remove(*made)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder for a table that is written by its owner and goes with :func:`release`."""
+    path = f"{shared_dir(spark).rstrip('/')}/graphweft/{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)  # should the session stop before :func:`release`
+    _made.append((spark, path))
+    return path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

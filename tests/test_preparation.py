@@ -36,11 +36,22 @@ def test_profile_and_percentiles(spark):
     assert (p[1].rows, p[1].n_distinct, p[1].mode, p[1].mode_rows) == (1000, 7, 0.0, 143)
     assert (p[2].rows, p[2].n_distinct, p[2].mode) == (2, 1, 3.0) and None not in p
     vals = sorted(v for k, v in data if k == 1)
-    got = {(r.k, r.q): r.value for r in skewed_keys.percentiles(w, ["k"], [0.0, 0.3, 0.5, 0.99, 1.0], blocks=3).collect()}
+    got = {(r.k, r.q): r.value for r in skewed_keys.percentiles(w, ["k"], [0.0, 0.3, 0.5, 0.99, 1.0], limit=1).collect()}
     assert {q: got[1, q] for q in (0.0, 0.3, 0.5, 0.99, 1.0)} == {q: vals[int(q * 999)] for q in (0.0, 0.3, 0.5, 0.99, 1.0)}
     assert got[2, 0.5] == 3.0 and (3, 0.5) not in got
 
 
+@pytest.mark.parametrize("limit", [1, 40, 100_000])
+def test_percentiles_of_narrow_and_wide_values(spark, limit):
+    near = [1e6 + i * 1e-7 for i in range(500)]
+    wide = [s * 10.0**e for s in (-1, 1) for e in range(-300, 300, 7)] + [0.0, float("inf"), -float("inf"), 5e-324]
+    data = [("near", v) for v in near] + [("wide", v) for v in wide] + [("nan", float("nan"))]
+    w = skewed_keys.weigh(spark.createDataFrame(data, "k string, v double"), ["k"], "v")
+    qs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = {(r.k, r.q): r.value for r in skewed_keys.percentiles(w, ["k"], qs, limit).collect()}
+    assert got == {(k, q): sorted(v)[int(q * (len(v) - 1))] for k, v in (("near", near), ("wide", wide)) for q in qs}
+
+
 @pytest.mark.parametrize("n", [0, 300])
 def test_degrees(spark, n):
     e = [(0 if i % 3 else i, i % 5) for i in range(n)] + [(None, 1), (2, None)] * bool(n)

@@ -8,10 +8,11 @@ word of a document and at every word of an item. A randomised SVD of the TF-IDF
 places, summed by term across the cluster) gives latent vectors; each distinct passage is held against all item
 passages by cosine. A run of ``RUN`` = WINDOW + STRIDE - 1 common words always holds one aligned window, whose latent
 vector equals that of the item's window, so no such run is missed at any cosine threshold below 1. Candidates are then
-checked by longest common run, longest common subsequence and the item's key terms (its rarest).
+checked by longest common subsequence, which gives the longest common run too, and by the item's key terms (its rarest).
 
-Defined results: null and empty texts and items are never found; repeated rows of a document give one result; items
-shorter than a window have their whole text as a passage; empty tables give an empty result.
+Defined results: null and empty texts and items are never found; repeated rows of a document give one result; an item
+shorter than a window is one passage, filled up with blanks, and found only where ``LEAST`` words of a window are item
+words; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from graphweft import runtime
 from graphweft.llm import text_units as tu
 
 WINDOW, STRIDE, LEAST, RUN = 8, 5, 6, 12
-RANK, COSINE, BLOCK, CHARS = 48, 0.95, 2_000_000, 4_000_000
+RANK, COSINE, SAME, BLOCK, CHARS = 48, 0.95, 0.9999, 2_000_000, 4_000_000
 SCHEMA = "doc_id long, item_id long, longest_run int, lcs_words int, coverage double, key_share double"
 
 
@@ -181,75 +182,50 @@ class _Items:
         self.basis = basis * idf[:, None]
         self.latent = self.unit(self.windows)
         self.bags = [set(t.tolist()) for t in self.terms]
-        self.grams: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        for k, t in enumerate(self.terms):
-            for s in range(len(t) - RUN + 1):
-                self.grams[tuple(t[s : s + RUN].tolist())].add(k)
-        self.grams = dict(self.grams)
-        every = np.array(sorted(self.grams), np.int64).reshape(-1, RUN).ravel()
-        self.gram_keys = _grams(every, np.arange(len(every)) % RUN, np.repeat(np.arange(len(self.grams)), RUN))[0]
         self.keys = [{x for x in t.tolist() if idf[x] >= np.quantile(idf[t], 0.6)} for t in self.terms]
 
     def unit(self, w: np.ndarray) -> np.ndarray:
         x = _project(w, self.basis)
         return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).astype(np.float32)
 
-    def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of ``w`` and item windows whose latent cosine is at least COSINE."""
-        x, rows, cols = self.unit(w), [], []
+    def hits(self, w: np.ndarray) -> list[tuple[int, int, bool]]:
+        """Rows of ``w`` and item windows whose latent cosine is at least COSINE, and whether their vectors are the same."""
+        x, out = self.unit(w), []
         for i in range(0, len(x), 2048):
-            r, c = np.nonzero(x[i : i + 2048] @ self.latent.T >= COSINE)
-            rows.append(r + i)
-            cols.append(c)
-        return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.zeros(0, int), np.zeros(0, int))
-
-
-def _grams(term: np.ndarray, pos: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and begin of each run of RUN known words."""
-    last = len(term) - RUN + 1
-    if last < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    upto = np.concatenate(([0], np.cumsum(term < 0)))
-    at = np.flatnonzero((upto[RUN:] == upto[:-RUN]) & (pos[RUN - 1 :] == pos[:last] + RUN - 1) & (row[RUN - 1 :] == row[:last]))
-    h = np.zeros(len(at), np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(RUN):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + term[at + j].astype(np.uint64) + np.uint64(1)
-    return h, at
+            s = x[i : i + 2048] @ self.latent.T
+            r, c = np.nonzero(s >= COSINE)
+            out += zip((r + i).tolist(), c.tolist(), (s[r, c] >= SAME).tolist())
+        return out
 
 
 def _search(batches: Iterator[pa.RecordBatch], given, coverage: float, keys: float) -> Iterator[pa.RecordBatch]:
-    """Candidates by latent cosine, then the checks. A pair without a run of RUN words needs ``coverage`` and ``keys``."""
+    """Candidates by latent cosine, then the checks: a pair needs a run of RUN words, or ``coverage`` and ``keys``.
+
+    A run holds a window of the item, so only pairs with a window of the same latent vector can have one.
+    """
     items: _Items = given.value
     for batch in batches:
         term, pos, row = _flat(batch)
         w, at = _windows(term, pos, row, items.size)
         distinct, inverse, _ = _distinct(w)
-        r, c = items.hits(distinct)
-        near: dict[int, set[int]] = defaultdict(set)
-        for i, j in zip(r.tolist(), c.tolist()):
-            near[i] |= items.owners[j]
-        pairs: dict[int, set[int]] = defaultdict(set)
+        near: dict[int, set[tuple[int, bool]]] = defaultdict(set)
+        for i, j, same in items.hits(distinct):
+            near[i] |= {(k, same) for k in items.owners[j]}
+        pairs: dict[int, set[tuple[int, bool]]] = defaultdict(set)
         for d, i in zip(row[at].tolist(), inverse.tolist()):
             if i in near:
                 pairs[d] |= near[i]
-        runs: set[tuple[int, int]] = set()
-        h, begin = _grams(term, pos, row)
-        for i in np.flatnonzero(np.isin(h, items.gram_keys)).tolist():
-            t, d = tuple(term[begin[i] : begin[i] + RUN].tolist()), int(row[begin[i]])
-            runs |= {(d, k) for k in items.grams.get(t, ()) if k in pairs[d]}
         first, out = np.searchsorted(row, np.arange(len(batch) + 1)), []
         ids = batch.column("doc_id").to_pylist()
-        for d, ks in pairs.items():
+        for d, found in pairs.items():
             t, p = term[first[d] : first[d + 1]], pos[first[d] : first[d + 1]]
-            here = set(t.tolist())
-            for k in ks:
+            here, gapped = set(t.tolist()), np.insert(t, np.flatnonzero(np.diff(p) != 1) + 1, -1)
+            for k in {k for k, _ in found}:
                 own, share = items.terms[k], len(items.keys[k] & here) / max(1, len(items.keys[k]))
-                run = (d, k) in runs
-                if not run and (share < keys or len(items.bags[k] & here) < coverage * len(items.bags[k]) / 2):
+                if (k, True) not in found and (share < keys or len(items.bags[k] & here) < coverage * len(items.bags[k]) / 2):
                     continue
-                lcs, longest = (0, RUN) if coverage > 1 else _lcs(own, np.insert(t, np.flatnonzero(np.diff(p) != 1) + 1, -1))
-                if run or lcs >= coverage * len(own):
+                lcs, longest = _lcs(own, gapped)
+                if longest >= RUN or (share >= keys and lcs >= coverage * len(own)):
                     out.append((ids[d], items.ids[k], longest, lcs, lcs / len(own), share))
         cols = list(zip(*out)) or [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "longest_run", "lcs_words", "coverage", "key_share"])
@@ -257,7 +233,7 @@ def _search(batches: Iterator[pa.RecordBatch], given, coverage: float, keys: flo
 
 def leaks(docs: DataFrame, items: DataFrame, coverage: float = 0.5, keys: float = 0.5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Runs and paraphrases (see :data:`SCHEMA`): candidates with a run of RUN words in common, or with ``coverage`` of the
-    item's words in order and ``keys`` of its key terms. With ``coverage`` above 1 only runs, whose lengths aren't measured."""
+    item's words in order and ``keys`` of its key terms."""
     spark = docs.sparkSession
     runtime.ship(spark)
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -299,4 +275,4 @@ def _block(docs: DataFrame, rows: list[tuple[int, str]], coverage: float, keys:
 
 def found(docs: DataFrame, items: DataFrame, **columns: str) -> DataFrame:
     """(doc_id, item_id): a run of at least RUN consecutive words in common."""
-    return leaks(docs, items, coverage=2.0, keys=2.0, **columns).select("doc_id", "item_id")
+    return leaks(docs, items, **columns).filter(F.col("longest_run") >= RUN).select("doc_id", "item_id")

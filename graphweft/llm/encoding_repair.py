@@ -12,7 +12,8 @@ read as another; a beam Viterbi search takes the best path under the pair model,
 Defined results: null, empty and pure ASCII texts are never found; U+FFFD and C1 control characters are always damage,
 restorable or not; a run is damaged too if its decoding is far commoner than itself. Runs of one or two letters aren't judged
 against another single-byte encoding, as any letter is some other letter there. Repeated texts are judged alike;
-very long runs are cut into pieces of ``PIECE`` characters, none dropped; an empty table gives an empty result.
+runs beyond ``PIECE`` characters are cut where no byte sequence can span, none dropped, and stay whole where one can; a
+restoration of lost bytes that is no word of the corpus doesn't count; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -61,6 +62,29 @@ def _single(read: str, written: str) -> dict[int, int]:
     return {ord(c): ord(table[b]) for c, b in back.items()}
 
 
+@functools.cache
+def _bytelike() -> np.ndarray:
+    """By code point: whether some encoding reads a byte above 127 as this character."""
+    out = np.zeros(0x110000, bool)
+    for name in READ_AS:
+        out[[ord(c) for c in _codec(name)[0]]] = True
+    out[[*range(128, 160), ord(LOST)]] = True
+    return out
+
+
+def _cut(codes: np.ndarray, a: int, b: int) -> list[tuple[int, int]]:
+    """Pieces of a long run: ends beside a character that can't be a byte of a sequence, PIECE apart where there are any."""
+    part = _bytelike()[codes[a:b]]
+    safe = np.append(np.flatnonzero(~part[1:] | ~part[:-1]) + 1 + a, b)
+    out = []
+    while b - a > PIECE:
+        k = np.searchsorted(safe, a + PIECE, "right")
+        end = int(safe[k - 1]) if k and safe[k - 1] > a else int(safe[k])
+        out.append((a, end))
+        a = end
+    return out + [(a, b)] * (b > a)
+
+
 def runs(texts: list[str]) -> tuple[list[str], np.ndarray]:
     """All runs of the texts and the number of the text of each."""
     joined, codes, ends = tu.join(texts)
@@ -74,10 +98,8 @@ def runs(texts: list[str]) -> tuple[list[str], np.ndarray]:
     keep = upto[b] > upto[a]
     a, b = a[keep], b[keep]
     if len(a) and (b - a).max() > PIECE:
-        n = (b - a + PIECE - 1) // PIECE
-        first = np.repeat(a, n) + PIECE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        b = np.minimum(first + PIECE, np.repeat(b, n))
-        a = first
+        cut = [x for i, j in zip(a.tolist(), b.tolist()) for x in ([(i, j)] if j - i <= PIECE else _cut(codes, i, j))]
+        a, b = np.array(cut).T
     return [joined[i:j] for i, j in zip(a.tolist(), b.tolist())], np.searchsorted(ends, a)
 
 
@@ -184,6 +206,8 @@ class Decoder:
         arcs = self._arcs(w)
         if not arcs and LOST not in w:
             return w, 0
+        if len(w) > PIECE:
+            return self._search_long(w, arcs)
         get = self.pair.get
         beams: list[dict[str, tuple[float, int]]] = [{} for _ in range(len(w) + 1)]
         beams[0] = {"": (0.0, 0)}
@@ -203,6 +227,25 @@ class Decoder:
         _, path, used = max(ends)
         return path, used
 
+    def _search_long(self, w: str, arcs: dict[int, list[tuple[int, str]]]) -> tuple[str, int]:
+        """The same for a run that can be no word: one state a position and last character, paths by back-pointers."""
+        get = self.pair.get
+        states: list[dict[str, tuple[float, int, int, str]]] = [{} for _ in range(len(w) + 1)]
+        states[0] = {"\n": (0.0, 0, -1, "")}
+        for i, c in enumerate(w):
+            lost = i < len(w) and c == LOST
+            for last, (score, used, _, _) in sorted(states[i].items(), key=lambda x: -x[1][0])[:BEAM]:
+                for j, x, new in [(i + 1, c, 0)] + [(j, x, 1) for j, x in arcs.get(i, ())] + [(i + 1, x, 1) for x in (self.after.get(last, [])[:24] if lost else ())]:
+                    s = score + get(last + x, self.none) + 1.0 * new
+                    if x not in states[j] or states[j][x][0] < s:
+                        states[j][x] = (s, used + new, i, last)
+        c = max(states[-1], key=lambda x: states[-1][x][0] + get(x + "\n", self.none))
+        used, at, path = states[-1][c][1], len(w), []
+        while at > 0:
+            path.append(c)
+            _, _, at, c = states[at][c]
+        return "".join(reversed(path)), used
+
     def decode(self, w: str, n: int) -> tuple[bool, str | None]:
         """Whether the run is damaged, and its restoration if there is one."""
         if w in self.spoiled:
@@ -219,7 +262,7 @@ class Decoder:
                 if score > top:
                     best, arcs, top = got, used + depth, score
         if best != w and arcs and all(c in self.known or c.isascii() for c in best) and (sure or self.words.get(best, 0) >= FAR * n or self.cost(best) > self.cost(w) + 3):
-            return True, best if LOST not in best else None
+            return True, best if LOST not in best and (LOST not in w or best in self.words) else None
         symbol = any(ord(c) > 127 and not c.isalpha() for c in w)
         if sure or symbol or len(w) >= 3:
             odd = [c for c in w if ord(c) > 127]

@@ -6,12 +6,9 @@ import argparse
 import json
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from graphweft import runtime
-from graphweft.model import Embedding, Graph, HopeParams, SketchParams, index_nodes
-from graphweft.operators import link_prediction as lp
-from graphweft.operators import degrees, sketch, spectral
+from graphweft.model import Embedding, Graph, HopeParams, SketchParams
+from graphweft.operators import sketch, spectral, validation
 from graphweft.sources.edge_files import load_graph
 from graphweft.sources.store import Output, dump_embedding
 
@@ -51,6 +48,7 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--nbpass", type=int, required=True)
     v.add_argument("--skip", type=float, required=True, help="fraction of edges to delete")
     v.add_argument("--centric", action="store_true")
+    v.add_argument("--precision", action="store_true", help="precision and recall of the nearest pairs too")
     _methods(v)
     return p
 
@@ -67,24 +65,9 @@ def embed(args: argparse.Namespace, g: Graph) -> Embedding:
 
 
 def validate(args: argparse.Namespace, g: Graph) -> dict:
-    """Link-prediction AUC over passes and, for symmetric sketches on request, the node-centric figures."""
-    spark = g.edges.sparkSession
-    n = g.nodes.count()
-    ends = g.nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("w"), F.col("node").alias("at"))
-    ranks = runtime.materialize(index_nodes(ends, "at"), "ranks")
-    aucs, figures = [], {}
-    for seed in range(args.nbpass):
-        split = runtime.materialize(lp.split_edges(g, args.skip, seed), "split")
-        train = lp.train_graph(g, split)
-        e = embed(args, train)
-        aucs.append(lp.auc(split.filter("deleted"), lp.sample_non_edges(g, 10_000, ranks, n, seed), e).first().auc)
-        if args.centric and seed == 0 and args.kind == "sketching" and args.symetric:
-            sample = degrees.sample_uniform(g.nodes, min(1.0, 2000 / n), seed)
-            near = runtime.materialize(sketch.neighbours_of(e.vectors, sample), "near")
-            figures["vcmpr"] = lp.vcmpr(near, split, sample).agg(F.avg("precision")).first()[0]
-            figures["centric_auc"] = lp.centric_auc(near, split, n, sample).agg(F.avg("auc")).first()[0]
-    row = lp.estimate_auc(spark.createDataFrame([(a,) for a in aucs], "auc double")).first()
-    return {"auc": row.mean, "error": row.error, **figures}
+    """Mean and standard error of the figures over the passes; on request the node-centric ones, of every pass and method."""
+    rows = validation.validate(g, lambda train: embed(args, train), args.skip, args.nbpass, args.precision, args.centric).collect()
+    return {r.figure: {"mean": r["mean"], "error": r.error, "passes": r.passes} for r in sorted(rows, key=lambda r: r.figure)}
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -12,9 +12,26 @@ def uniform(*parts: Column | str) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def race_key(item: Column | str, slot: int) -> Column:
-    """Exponential clock of an item in a slot; divided by a weight, the least key wins with probability as the weight."""
-    return -F.log(uniform(item, F.lit(slot)))
+#: Modulus and multipliers of the integer hashes below: products of two numbers under 2^31 fit 63 bits in any engine.
+PRIME, SEED_A, SEED_B, SLOT, STIR = (1 << 31) - 1, (668265263, 374761393), (974711, 461845907), 1640531527, 1103515245
+
+
+def seeds(item: Column | str, text: bool = False) -> list[Column]:
+    """Two numbers below PRIME that stand for an item in all its races; of a text they come from its MD5."""
+    c = F.col(item) if isinstance(item, str) else item
+    if text:
+        return [F.conv(F.substring(F.md5(c), at, 7), 16, 10).cast("long") for at in (1, 8)]
+    low, high = c.bitwiseAND(F.lit(PRIME)), F.pmod(F.shiftright(c, 31), F.lit(PRIME))
+    return [(low * a + high * b + b) % PRIME for a, b in zip(SEED_A, SEED_B)]
+
+
+def race_key(x: Column, y: Column, slot: Column | int) -> Column:
+    """Exponential clock, in a slot, of the item with the seeds x, y; divided by a weight, the least key wins with
+    probability as the weight."""
+    turn = F.lit((slot + 1) * SLOT % PRIME) if isinstance(slot, int) else (slot.cast("long") + 1) * SLOT % PRIME
+    h = (x * turn + y) % PRIME
+    g = h.bitwiseXOR(F.shiftright(h, 15)) * STIR % PRIME
+    return -F.log((g + (h + F.lit(0.5)) / PRIME) / PRIME)
 
 
 def positional_similarity(a: Column | str, b: Column | str) -> Column:

@@ -93,8 +93,8 @@ def build(rows: DataFrame, directed: bool = True) -> Graph:
     return Graph(edges if directed else symmetrise(edges), nodes, directed)
 
 
-def transpose(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+def transpose(edges: DataFrame, *more: str) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w", *more)
 
 
 def symmetrise(edges: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from graphweft import runtime
 from graphweft.model import SketchParams
-from graphweft.operators.sketch import clocks, signatures
+from graphweft.operators.sketch import signatures
 
 DEFAULT = "0"
 
@@ -25,27 +25,18 @@ def _hop(edges: DataFrame, labels: DataFrame, sketch: DataFrame, p: SketchParams
     seen = edges.join(lab, "dst")
     item = F.concat_ws("|", "nlabel", "label") if paired else F.col("nlabel")
     near = (seen.filter("label is not null") if paired else seen).select("src", item.alias("item"), "w")
-    far = edges.join(sketch.select(F.col("node").alias("dst"), "vec"), "dst").select("src", F.explode("vec").alias("item"), (F.col("w") * F.lit(p.decay / p.dim)).alias("w"))
+    items = sketch.select(F.col("node").alias("dst"), F.explode("vec").alias("item")).groupBy("dst", "item").agg(F.count(F.lit(1)).alias("n"))
+    far = edges.join(items, "dst").select("src", "item", (F.col("w") * F.lit(p.decay / p.dim) * F.col("n")).alias("w"))
     return near.unionByName(far).groupBy("src", "item").agg(F.sum("w").alias("w"))
 
 
-def _items(edges: DataFrame, labels: DataFrame, p: SketchParams, paired: bool) -> DataFrame:
-    names = labels.select(F.col("label").alias("item"))
-    if paired:
-        ends = edges.filter("label is not null").select("dst", "label").distinct()
-        names = ends.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("nlabel")), "dst").select(F.concat_ws("|", "nlabel", "label").alias("item"))
-    default = edges.sparkSession.createDataFrame([(DEFAULT,)], "item string")
-    return runtime.materialize(clocks(names.unionByName(default).distinct(), p.dim), "clocks")
-
-
 def embed_labelled(edges: DataFrame, nodes: DataFrame, labels: DataFrame, p: SketchParams = SketchParams(), paired: bool = False) -> DataFrame:
     """(node, vec) over labels, or over (node label, edge label) pairs; out-edges of ``edges`` are followed."""
     edges = runtime.materialize(edges.filter("src <> dst"), "edges")
-    items = _items(edges, labels, p, paired)
     blank = F.array_repeat(F.lit(DEFAULT), p.dim)
     sketch = nodes.select("node", blank.alias("vec"))
     for _ in range(p.hops):
-        drawn = signatures(_hop(edges, labels, sketch, p, paired), ["src"], items, p.dim)
+        drawn = signatures(_hop(edges, labels, sketch, p, paired), ["src"], p.dim)
         sketch = runtime.materialize(nodes.join(drawn, nodes.node == drawn.src, "left").select("node", F.coalesce("vec", blank).alias("vec")), "sketch")
     return sketch
 
@@ -57,7 +48,7 @@ def graph_signature(sketches: list[DataFrame], dim: int, size: int) -> DataFrame
         one = s.select(F.explode("vec").alias("item"))
         every = one if every is None else every.unionByName(one)
     counts = every.groupBy("item").agg(F.count(F.lit(1)).cast("double").alias("w")).select(F.lit(0).alias("g"), "item", "w")
-    drawn = signatures(counts, ["g"], clocks(counts.select("item"), size), size)
+    drawn = signatures(counts, ["g"], size)
     return drawn.select(F.posexplode("vec").alias("slot", "label"))
 
 

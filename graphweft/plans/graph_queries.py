@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from graphweft import functions as gf
 from graphweft import model, runtime
 from graphweft.model import Graph, HopeParams, SketchParams
-from graphweft.operators import cores, degrees, dense, density, labelled, normalize, sketch, spectral
+from graphweft.operators import cores, degrees, dense, density, labelled, node_centric, normalize, sketch, spectral
 from graphweft.operators import link_prediction as lp
 from graphweft.plans import preparation
 from graphweft.runtime import table
 from graphweft.sources import raw_lines, store
 
 P = SketchParams(16, 0.2, 2)
-CLOSE, KNN, SKIP = 0.75, 5, 0.2
+KNN, SKIP = 5, 0.2
 QUERIES, SQL = {}, {}
 
 
@@ -86,18 +86,25 @@ NAT = "w as (select s_nationkey::bigint src, c_nationkey::bigint dst, count(*)::
 BASE = f"with {R}, {N}, {E}, {S}"
 
 
-def _sketch_sql(edges: str, tag: str, hops: int, nodes: str = "n") -> str:
+def _clocks(items: str, slots: int, text: bool = False) -> str:
+    """(item, slot, key) of a query for the items, in the same integer arithmetic as the races."""
+    x, y = [f"('0x' || substr(md5(item), {at}, 7))::bigint" if text else f"((item & {gf.PRIME}) * {a} + ((item >> 31) % {gf.PRIME}) * {b} + {b}) % {gf.PRIME}" for at, a, b in zip((1, 8), gf.SEED_A, gf.SEED_B)]
+    h = f"select item, slot, (x * ((slot + 1) * {gf.SLOT} % {gf.PRIME}) + y) % {gf.PRIME} h from (select item, {x} x, {y} y from ({items})), (select unnest(range({slots})) slot)"
+    return f"select item, slot, -ln(((xor(h, h >> 15) * {gf.STIR} % {gf.PRIME}) + (h + 0.5::double) / {gf.PRIME}) / {gf.PRIME}) key from ({h})"
+
+
+def _sketch_sql(edges: str, tag: str, hops: int, nodes: str = "n", dim: int = 16) -> str:
     """CTEs <tag>0 .. <tag>hops (node, slot, v) of the sketch of an edge CTE."""
-    out = [f"{tag}k as (select node item, slot, -ln({_u('node, slot')}) key from {nodes}, (select unnest(range(16)) slot))", f"{tag}a as (select src, dst, w from {edges} union all select node, node, 1.0 from {nodes})", f"{tag}0 as (select src node, slot, arg_min(dst, key / w) v from {tag}a join {tag}k on item = dst group by src, slot)"]
+    out = [f"{tag}k as materialized ({_clocks(f'select node item from {nodes}', dim)})", f"{tag}a as materialized (select src, dst, w from {edges} union all select node, node, 1.0 from {nodes})", f"{tag}0 as materialized (select src node, slot, arg_min(dst, key / w) v from {tag}a join {tag}k on item = dst group by src, slot)"]
     for h in range(1, hops + 1):
-        out.append(f"{tag}c{h} as (select src, item, sum(w) w from (select src, dst item, w from {tag}a union all select a.src, p.v, a.w * (0.2 / 16) from {tag}a a join {tag}{h - 1} p on p.node = a.dst) group by src, item)")
-        out.append(f"{tag}{h} as (select src node, slot, arg_min(item, key / w) v from {tag}c{h} join {tag}k using (item) group by src, slot)")
+        out.append(f"{tag}c{h} as materialized (select src, item, sum(w) w from (select src, dst item, w from {tag}a union all select a.src, p.v, a.w * (0.2 / {dim}) * c from {tag}a a join (select node, v, count(*) c from {tag}{h - 1} group by node, v) p on p.node = a.dst) group by src, item)")
+        out.append(f"{tag}{h} as materialized (select src node, slot, arg_min(item, key / w) v from {tag}c{h} join {tag}k using (item) group by src, slot)")
     return ", ".join(out)
 
 
 SK = BASE + ", " + _sketch_sql("s", "h", 2)
 PAIRS = "pr as (select a.node node_a, b.node node_b, count(*) / 16.0 similarity from h2 a join h2 b on a.slot = b.slot and a.v = b.v and a.node < b.node group by all having count(*) >= 15)"
-NEAR = "nb as (select * from (select a.node, b.node neighbour, 1 - count(*) / 16.0 distance, row_number() over (partition by a.node order by count(*) desc, b.node) k from h2 a join h2 b on a.slot = b.slot and a.v = b.v and a.node <> b.node where a.node % 50 = 0 group by a.node, b.node having count(*) >= 12) where k <= 5)"
+NEAR = "nb as (select * from (select *, row_number() over (partition by node order by distance, neighbour) k from (select a.node, b.node neighbour, 1 - count(*) filter (a.v = b.v) / 16.0 distance from h2 a join h2 b on a.slot = b.slot and a.node <> b.node where a.node % 50 = 0 group by a.node, b.node)) where k <= 5)"
 
 
 # Loading and normalisation
@@ -224,7 +231,7 @@ def sketch_vectors(spark, d):
 
 def _near(spark, d) -> DataFrame:
     v = sketch.embed(graph(spark, d, False), P).vectors
-    return sketch.nearest_of(v, v.filter("node % 50 = 0"), P.dim, CLOSE, KNN)
+    return sketch.nearest_of(v, v.filter("node % 50 = 0"), P.dim, KNN)
 
 
 @query(f"""{SK}, v as (select l, min(node) c, count(*) n from (select node, list(v order by slot) l from h2 group by node) group by l), x as (select h2.*, n from h2 join v on c = node)
@@ -239,6 +246,22 @@ def sketch_knn(spark, d):
     return _near(spark, d)
 
 
+D40 = SketchParams(40, 0.2, 2)
+
+
+@query(f"{BASE}, {_sketch_sql('s', 'h', 2, dim=40)} select node, slot::int slot, v as value from h2")
+def sketch_dim40(spark, d):
+    """More slots than one pass takes."""
+    return sketch.long_form(sketch.embed(graph(spark, d, False), D40).vectors)
+
+
+@query()
+def sketch_dim200_hop5(spark, d):
+    """The size of embedding that the figures of large graphs are given for; (node, number of distinct items)."""
+    v = sketch.embed(graph(spark, d, False), SketchParams(200, 0.2, 5)).vectors
+    return v.select("node", F.size(F.array_distinct("vec")).alias("items"))
+
+
 def _directed(spark, d):
     return sketch.embed_directed(graph(spark, d), P)
 
@@ -277,18 +300,19 @@ def _labelled(spark, d, directed=False):
 
 
 def _labelled_sql(edges: str, item: str, where: str, tag: str = "l") -> str:
-    out = ["lab as (select distinct unnest([src, dst]) node, graph nlabel from r)", f"le as ({edges})"]
-    items = "select distinct nlabel item from lab" if item == "nlabel" else f"select distinct {item} item from le join lab on lab.node = le.dst where {where}"
-    out.append(f"{tag}i as (select item from ({items}) union select '0')")
-    out.append(f"{tag}k as (select item, slot, -ln({_u('item, slot')}) key from {tag}i, (select unnest(range(16)) slot))")
-    out.append(f"{tag}0 as (select node, slot, '0' v from n, (select unnest(range(16)) slot))")
+    out = ["lab as materialized (select distinct unnest([src, dst]) node, graph nlabel from r)", f"{tag}e as materialized ({edges})"]
+    items = "select distinct nlabel item from lab" if item == "nlabel" else f"select distinct {item} item from {tag}e le join lab on lab.node = le.dst where {where}"
+    out.append(f"{tag}i as materialized (select item from ({items}) union select '0')")
+    out.append(f"{tag}k as materialized ({_clocks(f'select item from {tag}i', 16, True)})")
+    out.append(f"{tag}0 as materialized (select node, slot, '0' v from n, (select unnest(range(16)) slot))")
     for h in (1, 2):
-        out.append(f"{tag}c{h} as (select src, item, sum(w) w from (select le.src, {item} item, le.w from le join lab on lab.node = le.dst where {where} union all select le.src, p.v, le.w * (0.2 / 16) from le join {tag}{h - 1} p on p.node = le.dst) group by src, item)")
-        out.append(f"{tag}{h} as (select z.node, z.slot, coalesce(y.v, '0') v from {tag}0 z left join (select src, slot, arg_min(item, key / w) v from {tag}c{h} join {tag}k using (item) group by src, slot) y on y.src = z.node and y.slot = z.slot)")
+        out.append(f"{tag}c{h} as materialized (select src, item, sum(w) w from (select le.src, {item} item, le.w from {tag}e le join lab on lab.node = le.dst where {where} union all select le.src, p.v, le.w * (0.2 / 16) * c from {tag}e le join (select node, v, count(*) c from {tag}{h - 1} group by node, v) p on p.node = le.dst) group by src, item)")
+        out.append(f"{tag}{h} as materialized (select z.node, z.slot, coalesce(y.v, '0') v from {tag}0 z left join (select src, slot, arg_min(item, key / w) v from {tag}c{h} join {tag}k using (item) group by src, slot) y on y.src = z.node and y.slot = z.slot)")
     return ", ".join(out)
 
 
 _BOTH = "select src, dst, w, label from r where src <> dst union all select dst, src, w, label from r where src <> dst"
+_SIG = ", c as (select v item, count(*)::double w from {} group by v), k as (select slot, item, key / w key from (" + _clocks("select item from c", 32, True) + ") join c using (item)) select slot::int slot, arg_min(item, key) as label from k group by slot"
 LN = f"with {R}, {N}, " + _labelled_sql(_BOTH, "nlabel", "true")
 LNE = f"with {R}, {N}, " + _labelled_sql(_BOTH, "concat_ws('|', nlabel, label)", "label is not null")
 LD = f"with {R}, {N}, " + _labelled_sql("select src, dst, w, label from r where src <> dst", "nlabel", "true")
@@ -309,15 +333,37 @@ def labelled_sketch_directed(spark, d):
     return sketch.long_form(labelled.embed_labelled(*_labelled(spark, d, True), P))
 
 
-_SIG = f", c as (select v item, count(*)::double w from l2 group by v), k as (select item, slot, -ln({_u('item, slot')}) / w key from c, (select unnest(range(32)) slot)) select slot::int slot, arg_min(item, key) as label from k group by slot"
+_IN = "select dst src, src dst, w, label from r where src <> dst"
+_PAIR = ("concat_ws('|', nlabel, label)", "label is not null")
+
+
+def _incoming(spark, d):
+    e, nodes, labels = _labelled(spark, d, True)
+    return model.transpose(e, "label"), nodes, labels
+
+
+@query(f"with {R}, {N}, " + _labelled_sql(_IN, "nlabel", "true") + " select node, slot::int slot, v as value from l2")
+def labelled_sketch_in(spark, d):
+    return sketch.long_form(labelled.embed_labelled(*_incoming(spark, d), P))
 
 
-@query(LN + _SIG)
+@query(f"with {R}, {N}, " + _labelled_sql(_IN, *_PAIR) + " select node, slot::int slot, v as value from l2")
+def labelled_sketch_in_paired(spark, d):
+    return sketch.long_form(labelled.embed_labelled(*_incoming(spark, d), P, paired=True))
+
+
+@query(f"with {R}, {N}, " + _labelled_sql("select src, dst, w, label from r where src <> dst", "nlabel", "true") + ", " + _labelled_sql(_IN, "nlabel", "true", "g").split("), ", 1)[1] + ", lg as (select v from l2 union all select v from g2)" + _SIG.format("lg"))
+def graph_signature_directed(spark, d):
+    """Labels of the sketches of out-edges and of in-edges together."""
+    return labelled.graph_signature([labelled.embed_labelled(*_labelled(spark, d, True), P), labelled.embed_labelled(*_incoming(spark, d), P)], P.dim, 32)
+
+
+@query(LN + _SIG.format("l2"))
 def graph_signature_n(spark, d):
     return labelled.graph_signature([labelled.embed_labelled(*_labelled(spark, d), P)], P.dim, 32)
 
 
-@query(LNE + _SIG)
+@query(LNE + _SIG.format("l2"))
 def graph_signature_ne(spark, d):
     return labelled.graph_signature([labelled.embed_labelled(*_labelled(spark, d), P, paired=True)], P.dim, 32)
 
@@ -389,6 +435,12 @@ def _trained(spark, d):
     return g, s, sketch.embed(lp.train_graph(g, s), P)
 
 
+def _sampled(spark, d):
+    g, s, e = _trained(spark, d)
+    n = g.nodes.count()
+    return s, n, e, node_centric.draw(g.nodes, n)
+
+
 TRAIN = f"{SYM}, ts as (select src, dst, w from sp where not deleted union all select dst, src, w from sp where not deleted), {_sketch_sql('ts', 'h', 2)}"
 _DIST = "select round(1 - count(*) filter (a.v = b.v) / 16.0, 9) dist from {} p join h2 a on a.node = p.src join h2 b on b.node = p.dst and a.slot = b.slot group by p.src, p.dst{}"
 _DRAW = f"floor({_u(chr(39) + 'ra0' + chr(39) + ', i')} * (select count(*) from n))::bigint ra, floor({_u(chr(39) + 'rb0' + chr(39) + ', i')} * (select count(*) from n))::bigint rb"
@@ -410,14 +462,7 @@ h as (select count(*) found, count(*) filter (exists (from sp where deleted and
 select found, hits, round(hits / greatest(found, 1), 9) as "precision", round(hits / greatest(least(n, found), 1), 9) recall from h, x""")
 def precision_at_50(spark, d):
     _, s, e = _trained(spark, d)
-    return rounded(lp.precision(sketch.nearest_pairs(e.vectors, P.dim, 15 / 16, 50, s.filter("not deleted")), s, 50), "precision", "recall", digits=9)
-
-
-def _sampled_neighbours(spark, d):
-    g, s, e = _trained(spark, d)
-    n = g.nodes.count()
-    sample = runtime.materialize(degrees.sample_uniform(g.nodes, min(1.0, 2000 / max(n, 1))), "sample")
-    return s, n, sample, runtime.materialize(sketch.neighbours_of(e.vectors, sample), "near")
+    return rounded(lp.precision(sketch.top_pairs(e.vectors, P.dim, 50, s.filter("not deleted")), s, 50), "precision", "recall", digits=9)
 
 
 _NEAR2K = f"""sm as (select node from n where {_u("'0', node")} < least(1.0, 2000.0 / (select count(*) from n))), q as (select a.node, b.node neighbour, round(1 - count(*) / 16.0, 9) dist from h2 a join h2 b on a.slot = b.slot and a.v = b.v and a.node <> b.node where a.node in (select node from sm) group by all),
@@ -428,8 +473,8 @@ fr as (select q.*, exists (from go where go.node = q.node and nb = neighbour) go
 @query(f"""{TRAIN}, {_NEAR2K}, p as (select *, row_number() over (partition by node order by dist, neighbour) k from fr), f as (select node, count(*) found from p where k <= 10 and gone group by node)
 select ak.node, coalesce(found, 0) found, round(coalesce(found, 0) / least(nd, 10), 9) as "precision" from ak left join f using (node)""")
 def vcmpr_at_10(spark, d):
-    s, _, sample, near = _sampled_neighbours(spark, d)
-    return rounded(lp.vcmpr(near, s, sample, 10), "precision", digits=9)
+    s, _, e, sample = _sampled(spark, d)
+    return rounded(node_centric.vcmpr(e, s, sample, 10), "precision", digits=9)
 
 
 _CENTRIC = f"""{_NEAR2K}, dt as (select node, count(*) degree from tr group by node), pd as (select node, dist, count(*) filter (not gone) others, count(*) filter (gone) hits from fr group by all), kn as (select node, sum(others) known, sum(hits) kh from pd group by node),
@@ -439,14 +484,14 @@ sc as (select node, degree, hits, 1 - nearer / total score from rn join bs using
 
 @query(f"{TRAIN}, {_CENTRIC} select node, degree, round(auc, 9) auc from ca")
 def centric_auc(spark, d):
-    s, n, sample, near = _sampled_neighbours(spark, d)
-    return rounded(lp.centric_auc(near, s, n, sample), "auc", digits=9)
+    s, n, e, sample = _sampled(spark, d)
+    return rounded(node_centric.centric_auc(e, s, n, sample), "auc", digits=9)
 
 
 @query(f"{TRAIN}, {_CENTRIC} select round(corr(degree, auc), 6) corr, count(*) n from ca")
 def centric_auc_corr(spark, d):
-    s, n, sample, near = _sampled_neighbours(spark, d)
-    return lp.centric_auc(near, s, n, sample).agg(F.round(F.corr("degree", "auc"), 6).alias("corr"), F.count(F.lit(1)).alias("n"))
+    s, n, e, sample = _sampled(spark, d)
+    return node_centric.centric_auc(e, s, n, sample).agg(F.round(F.corr("degree", "auc"), 6).alias("corr"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {R}, {N} select node from n where {_u(chr(39) + '0' + chr(39) + ', node')} < 0.1")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from graphweft import functions as gf
 from graphweft import model
 from graphweft.model import Graph, HopeParams, SketchParams
-from graphweft.operators import cores, degrees, dense, labelled, normalize, sketch, spectral
+from graphweft.operators import cores, degrees, dense, labelled, node_centric, normalize, sketch, spectral
 from graphweft.operators import link_prediction as lp
 from graphweft.plans import graph_queries
 
@@ -63,8 +63,7 @@ def test_sketch_estimates_weighted_jaccard(spark):
     a, b = {i: 1.0 + i % 3 for i in range(30)}, {i: 1.0 + i % 3 for i in range(10, 40)}
     m = 256
     w = spark.createDataFrame([(n, i, x) for n, s in ((0, a), (1, b)) for i, x in s.items()], "src long, item long, w double")
-    items = sketch.clocks(w.select("item").distinct(), m)
-    v = {r.src: r.vec for r in sketch.signatures(w, ["src"], items, m).collect()}
+    v = {r.src: r.vec for r in sketch.signatures(w, ["src"], m).collect()}
     # Probability Jaccard: sum over common i of 1 / sum_j max(a_j / a_i, b_j / b_i).
     both = set(a) | set(b)
     j = sum(1 / sum(max(a.get(k, 0) / a[i], b.get(k, 0) / b[i]) for k in both) for i in set(a) & set(b))
@@ -128,20 +127,43 @@ def test_auc_and_centric_against_brute_force(spark):
     assert abs(lp.auc(frame(gone), frame(non), e).first().auc - want) < 1e-9
     split = spark.createDataFrame([(a, b, 1.0, True) for a, b in gone] + [(a, b, 1.0, False) for a, b in train], "src long, dst long, w double, deleted boolean")
     nodes = spark.createDataFrame([(i,) for i in range(40)], "node long")
-    near = sketch.neighbours_of(e.vectors, nodes)
-    got = {r.node: r.auc for r in lp.centric_auc(near, split, 40, nodes).collect()}
+    got = {r.node: r.auc for r in node_centric.centric_auc(e, split, 40, nodes).collect()}
     adj = lambda ps, i: {b if a == i else a for a, b in ps if i in (a, b)}
     for i, auc in got.items():
         d, others = adj(gone, i), [j for j in range(40) if j != i and j not in adj(train, i) and j not in adj(gone, i)]
         scores = [np.mean([(dist(i, j) > dist(i, x) + 1e-9) + 0.5 * (abs(dist(i, j) - dist(i, x)) < 1e-9) for j in others]) for x in d]
         assert abs(auc - np.mean(scores)) < 1e-9
     assert set(got) == {x for p in gone for x in p}
-    found = {r.node: r.found for r in lp.vcmpr(near, split, nodes, 5).collect()}
+    last = {r.node: r.auc for r in node_centric.centric_auc(e, split, 40, nodes, "last").collect()}
+    for i in last:
+        x = max(adj(gone, i), key=lambda j: dist(i, j))
+        others = [j for j in range(40) if j != i and j not in adj(train, i) and j not in adj(gone, i)]
+        assert abs(last[i] - np.mean([(dist(i, j) > dist(i, x) + 1e-9) + 0.5 * (abs(dist(i, j) - dist(i, x)) < 1e-9) for j in others])) < 1e-9
+    found = {r.node: r.found for r in node_centric.vcmpr(e, split, nodes, 5).collect()}
     for i, n in found.items():
         c = sorted((j for j in range(40) if j != i and j not in adj(train, i) and dist(i, j) < 1), key=lambda j: (round(dist(i, j), 9), j))[:5]
         assert n == len(set(c) & adj(gone, i))
 
 
+def test_centric_figures_of_dense_directed_vectors(spark):
+    rng = np.random.default_rng(2)
+    s, t = rng.standard_normal((30, 4)), rng.standard_normal((30, 4))
+    e = model.Embedding(spark.createDataFrame([(i, s[i].tolist(), t[i].tolist()) for i in range(30)], "node long, source array<double>, target array<double>"), gf.dot_distance, False, "hope")
+    dist = lambda a, b: round((3 - s[a] @ s[b] - t[a] @ t[b] - s[a] @ t[b]) / 3, 9)
+    edges = [(i, (i * 7 + 3) % 30, 1.0, i % 3 == 0) for i in range(30) if i != (i * 7 + 3) % 30]
+    split, nodes = spark.createDataFrame(edges, "src long, dst long, w double, deleted boolean"), spark.createDataFrame([(i,) for i in range(30)], "node long")
+    train = {p for a, b, _, gone in edges if not gone for p in ((a, b), (b, a))}
+    gone = {p for a, b, _, gone in edges if gone for p in ((a, b), (b, a))} - train
+    got = {r.node: r.auc for r in node_centric.centric_auc(e, split, 30, nodes).collect()}
+    assert set(got) == {a for a, _ in gone}
+    for i, auc in got.items():
+        others = [j for j in range(30) if j != i and (i, j) not in train | gone]
+        assert abs(auc - np.mean([np.mean([(dist(i, j) > dist(i, x)) + 0.5 * (dist(i, j) == dist(i, x)) for j in others]) for a, x in gone if a == i])) < 1e-9
+    for r in node_centric.vcmpr(e, split, nodes, 3).collect():
+        best = sorted((j for j in range(30) if j != r.node and (r.node, j) not in train), key=lambda j: (dist(r.node, j), j))[:3]
+        assert r.found == sum((r.node, j) in gone for j in best)
+
+
 def test_p_core(spark):
     g = toy(spark)
     assert {r.node for r in cores.p_core(g.edges, g.nodes, 2).collect()} == set(range(1, 8))
@@ -207,11 +229,10 @@ def test_nearest_of_and_classes(spark):
     v[20:60] = v[20]
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "node long, vec array<long>")
     got = {}
-    for r in sketch.nearest_of(df, df.filter("node % 7 = 0"), 8, 0.5, 4).orderBy("node", "rank").collect():
+    for r in sketch.nearest_of(df, df.filter("node % 7 = 0"), 8, 4, 0.5).orderBy("node", "rank").collect():
         got.setdefault(r.node, []).append((r.distance, r.neighbour))
     for i in range(0, 120, 7):
-        want = sorted((1 - (v[i] == v[j]).mean(), j) for j in range(120) if j != i and (v[i] == v[j]).mean() >= 0.5)[:4]
-        assert got.get(i, []) == want
+        assert got[i] == sorted((1 - (v[i] == v[j]).mean(), j) for j in range(120) if j != i)[:4]
     first = {tuple(x): min(j for j in range(120) if (v[j] == x).all()) for x in v}
     reps = sorted(set(first.values()))
     want = {(a, b) for k, a in enumerate(reps) for b in reps[k + 1 :] if (v[a] == v[b]).mean() >= 0.75}

@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 INFINITE = 1 << 30
@@ -58,12 +58,38 @@ def percentiles(sketches: DataFrame, keys: Sequence[str], qs: Sequence[float], e
     return hit.select(*keys, "field", "q", F.col("total").alias("n"), F.when(F.col("sign") == 0, F.lit(0.0)).otherwise(F.col("sign") * size).alias("value"))
 
 
+def store(sketches: DataFrame, path: str, part: str = "part") -> None:
+    """Adds sketches to a stored table, in a folder for each value of ``part`` (a day, a load): a part that is stored
+    again replaces its old counts, the others stay, and no row is read again."""
+    sketches.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """Stored sketches; a filter on the part reads only its folders."""
+    return spark.read.parquet(path)
+
+
+def significant(v: Column, digits: int = 9) -> Column:
+    """``v`` to so many significant decimal digits, which moves it by less than any relative error bound."""
+    return F.when(F.abs(v) < float("inf"), F.format_string(f"%.{digits - 1}e", v).cast("double")).otherwise(v)
+
+
 def one_per_key(df: DataFrame, key: Sequence[str], loaded: str = "loaded_at") -> DataFrame:
-    """Rows of a key that were delivered again are one record: of each column the earliest value that isn't null or NaN."""
+    """Rows of a key that were delivered again are one record: of each column the earliest value that isn't null or NaN.
+
+    All is found by hashing, without a sort of the rows: strings outside the key take part by their hash and are looked
+    up again in the table of distinct strings.
+    """
     kinds = dict(df.dtypes)
+    names = [c for c in df.columns if kinds[c] == "string" and c not in key]
+    coded = df.withColumns({c: F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in names})
 
     def earliest(c: str) -> Column:
         there = F.col(c).isNotNull() & ~F.isnan(c) if kinds[c] in ("double", "float") else F.col(c).isNotNull()
-        return F.min(F.when(there, F.struct(F.col(loaded).alias("at"), F.col(c).alias("v"))))["v"].alias(c)
+        return F.min_by(c, F.when(there, F.coalesce(F.col(loaded), F.lit("9999-12-31").cast(kinds[loaded])))).alias(c)
 
-    return df.groupBy(*key).agg(*[earliest(c) for c in df.columns if c not in key and c != loaded], F.min(loaded).alias(loaded))
+    out = coded.groupBy(*key).agg(*[earliest(c) for c in df.columns if c not in key and c != loaded], F.min(loaded).alias(loaded))
+    for c in names:
+        texts = df.filter(F.col(c).isNotNull()).select(F.col(c).alias("_text")).distinct().select("_text", F.xxhash64("_text").alias(c))
+        out = out.join(texts, c, "left").drop(c).withColumnRenamed("_text", c)
+    return out

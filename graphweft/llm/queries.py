@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphweft import runtime
 from graphweft.llm import encoding_repair, eval_leakage, quantile_sketch, set_join, split, tokenize, vector_knn
+from graphweft.operators import skewed_keys
 from graphweft.runtime import table
 
 
@@ -61,11 +62,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_split(spark: SparkSession, d: str) -> DataFrame:
-    rows = _linked_rows(spark, d).select("edge_id", "graph", "delete_fraction")
-    labels, _ = split.groups(_linked_rows(spark, d), [["graph", "a", "b"]], "edge_id")
-    rooted = runtime.materialize(rows.join(labels, rows.edge_id == labels.node, "left").select("edge_id", "graph", "delete_fraction", F.coalesce("root", "edge_id").alias("root")), "rooted")
+    return _dealt(spark, d).select("edge_id", "graph", "split")
+
+
+def _dealt(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the graphs that take part with ends a, b, root of their group and split."""
+    rows = runtime.materialize(_linked_rows(spark, d), "linked")
+    labels, _ = split.groups(rows, [["graph", "a", "b"]], "edge_id")
+    rooted = runtime.materialize(rows.join(labels, rows.edge_id == labels.node, "left").select("edge_id", "graph", "delete_fraction", "a", "b", F.coalesce("root", "edge_id").alias("root")), "rooted")
     dealt = split.deal(rooted.groupBy("graph", "delete_fraction", "root").agg(F.count(F.lit(1)).alias("size")), ["graph"], "size", "delete_fraction")
-    return rooted.join(dealt.select("root", "split"), "root").select("edge_id", "graph", "split")
+    return rooted.join(dealt.select("root", "split"), "root")
+
+
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Per graph: rows, links, links in more than one split, and whether the held-out rows are within 2 % of all rows, or one row, of ``delete_fraction``."""
+    rows = runtime.materialize(_dealt(spark, d), "dealt")
+    links = rows.groupBy("graph", "a", "b").agg(F.count(F.lit(1)).alias("n"), (F.min("split") != F.max("split")).cast("int").alias("broken"), F.count(F.when(F.col("split") != "train", 1)).alias("held"), F.max("delete_fraction").alias("f"))
+    per = links.groupBy("graph").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("links"), F.sum("broken").alias("broken"), F.sum("held").alias("held"), F.max("f").alias("f"))
+    return per.select("graph", "rows", "links", "broken", (F.abs(F.col("held") - F.col("f") * F.col("rows")) <= F.greatest(F.lit(1.0), F.col("rows") * 0.02)).alias("close"))
 
 
 P6_QS = [0.5, 0.9, 0.95, 0.99]
@@ -84,12 +98,39 @@ def _block_sketch(spark: SparkSession, d: str) -> DataFrame:
 
 def _p6(sketch, keys: list[str]):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        out = quantile_sketch.percentiles(quantile_sketch.merge(sketch(spark, d), keys), keys, P6_QS)
-        return out.select(*keys, "field", "q", "n", F.round("value", 6).alias("value"))
+        return _p6_result(quantile_sketch.merge(sketch(spark, d), keys), keys)
 
     return query
 
 
+def _p6_result(merged: DataFrame, keys: list[str]) -> DataFrame:
+    out = quantile_sketch.percentiles(merged, keys, P6_QS)
+    return out.select(*keys, "field", "q", "n", quantile_sketch.significant(F.col("value")).alias("value"))
+
+
+def p6_degree_from_store(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per graph from stored sketches: one folder a load day, combined without a look at the rows."""
+    path = runtime.scratch(spark, "sketches")
+    quantile_sketch.store(_degree_sketch(spark, d), path, "day")
+    return _p6_result(quantile_sketch.merge(quantile_sketch.load(spark, path), ["graph"]), ["graph"])
+
+
+def p6_error_bound(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of the sketches against the exact ones of the same ranks: (field, checked, beyond the bound of 1 %)."""
+    once = quantile_sketch.one_per_key(table(spark, d, "node_degree").select("snap_id", "node", "graph", "d_in", "d_out", "loaded_at"), ["snap_id", "node"])
+    dist = quantile_sketch.one_per_key(table(spark, d, "block_stat").select("run_id", "blocnum", "graph", "mean_dist", "loaded_at"), ["run_id", "blocnum"])
+    parts = [once.select("graph", F.col("snap_id").alias("part"), F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in ("d_in", "d_out")]
+    parts.append(dist.select("graph", F.col("run_id").alias("part"), F.lit("mean_dist").alias("field"), F.col("mean_dist").alias("v")))
+    long = runtime.materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumnRenamed("field", "kind"), "values")
+    out = None
+    for keys in (["kind", "graph", "part"], ["kind", "graph"]):
+        exact = skewed_keys.percentiles(skewed_keys.weigh(long, keys, "v"), keys, P6_QS).withColumnRenamed("value", "exact")
+        near = quantile_sketch.percentiles(quantile_sketch.sketch(long, keys, ["v"]), keys, P6_QS)
+        both = exact.join(near, [*keys, "q"], "full").select(F.col("kind").alias("field"), (F.abs(F.col("value") - F.col("exact")) <= F.abs(F.col("exact")) * 0.01 * (1 + 1e-9)).alias("within"))
+        out = both if out is None else out.unionByName(both)
+    return out.groupBy("field").agg(F.count(F.lit(1)).alias("checked"), F.count(F.when(F.coalesce("within", F.lit(False)), None).otherwise(1)).alias("beyond"))
+
+
 p6_degree_by_snapshot, p6_degree_by_graph = _p6(_degree_sketch, ["graph", "snap_id"]), _p6(_degree_sketch, ["graph"])
 p6_distance_by_run, p6_distance_by_graph = _p6(_block_sketch, ["graph", "run_id"]), _p6(_block_sketch, ["graph"])
 
@@ -101,7 +142,7 @@ def _p6_sql(source: str, keys: str, fields: list[str]) -> str:
     b as (select {keys}, field, sign(v)::int s, case when v = 0 then 0 else ceil(ln(nullif(abs(v), 0)) / ln(1.01 / 0.99))::int end k, count(*) n from x group by all),
     c as (select *, sum(n) over (partition by {keys}, field order by s, s * k) upto, sum(n) over (partition by {keys}, field) total from b),
     q as (select unnest([0.5, 0.9, 0.95, 0.99])::double q)
-    select {keys}, field, q, total::bigint n, round(case when s = 0 then 0.0 else s * 2 / (1.01 / 0.99 + 1) * pow(1.01 / 0.99, k) end, 6) value
+    select {keys}, field, q, total::bigint n, format('{{:.8e}}', case when s = 0 then 0.0 else s * 2 / (1.01 / 0.99 + 1) * pow(1.01 / 0.99, k) end)::double as value
     from c, q where floor(q * (total - 1)) < upto and floor(q * (total - 1)) >= upto - n"""
 
 
@@ -109,6 +150,11 @@ _DEGREE_ONCE = "select snap_id, node, min(graph) graph, max(d_in) d_in, max(d_ou
 _BLOCK_ONCE = "select run_id, blocnum, min(graph) graph, max(case when isnan(mean_dist) then null else mean_dist end) mean_dist from block_stat group by run_id, blocnum"
 
 
+def _bound_sql() -> str:
+    levels = [f"select distinct 'd_in' f, graph, {p} part from o where d_in is not null union all select distinct 'd_out', graph, {p} from o where d_out is not null union all select distinct 'mean_dist', graph, {r} from b where mean_dist is not null" for p, r in (("snap_id", "run_id"), ("null", "null"))]
+    return f"with o as ({_DEGREE_ONCE}), b as ({_BLOCK_ONCE}), k as ({' union all '.join(levels)}) select f field, count(*) * 4 checked, 0::bigint beyond from k group by f"
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
@@ -129,19 +175,24 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding_repair.restore(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p4_found": p4_found, "p4_knn": p4_knn, "p5_found": p5_found, "p5_split": p5_split, "p6_degree_by_snapshot": p6_degree_by_snapshot, "p6_degree_by_graph": p6_degree_by_graph, "p6_distance_by_run": p6_distance_by_run, "p6_distance_by_graph": p6_distance_by_graph, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p4_found": p4_found, "p4_knn": p4_knn, "p5_found": p5_found, "p5_split": p5_split, "p5_shares": p5_shares, "p6_degree_by_snapshot": p6_degree_by_snapshot, "p6_degree_by_graph": p6_degree_by_graph, "p6_distance_by_run": p6_distance_by_run, "p6_distance_by_graph": p6_distance_by_graph, "p6_degree_from_store": p6_degree_from_store, "p6_error_bound": p6_error_bound, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_restored": p9_restored}
 SQL: dict[str, str] = {
     "p2_found": """with r as (select 0 s, 'sym' f, node, list_distinct(any_value(sketches)) t from node_sketch group by node
     union all select 0, 'out', node, list_distinct(any_value(sketches_out)) from node_sketch_asym group by node
     union all select 1, 'in', node, list_distinct(any_value(sketches_in)) from node_sketch_asym group by node),
-    k as (select * from r where len(t) > 0)
-    select case when a.f = b.f then a.f else 'sym_out' end kind, a.node node_a, b.node node_b from k a join k b on a.s = b.s and a.node < b.node
-    and len(a.t) >= 0.6 * len(b.t) and len(b.t) >= 0.6 * len(a.t) and len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.6""",
+    k as materialized (select s, f, node, len(t) n, t from r where len(t) > 0), x as materialized (select s, f, node, n, unnest(t) v from k)
+    select case when a.f = b.f then a.f else 'sym_out' end kind, a.node node_a, b.node node_b from x a join x b on a.s = b.s and a.v = b.v and a.node < b.node
+    and a.n >= 0.6 * b.n and b.n >= 0.6 * a.n group by a.f, b.f, a.node, b.node, a.n, b.n having count(*) / (a.n + b.n - count(*)) >= 0.6""",
     "p5_found": """with s as (select graph, bool_or(symetric) y from validation_params where delete_fraction > 0 and delete_fraction < 1 and symetric is not null group by graph),
     e as (select edge_id, graph, case when y then least(src, dst) else src end a, case when y then greatest(src, dst) else dst end b from edge_list join s using (graph) where src is not null and dst is not null),
     m as (select edge_id, min(edge_id) over (partition by graph, a, b) k from e) select k edge_id_a, edge_id edge_id_b from m where k <> edge_id""",
+    "p5_shares": """with s as (select graph, bool_or(symetric) y from validation_params where delete_fraction > 0 and delete_fraction < 1 and symetric is not null group by graph),
+    e as (select graph, case when y then least(src, dst) else src end a, case when y then greatest(src, dst) else dst end b from edge_list join s using (graph) where src is not null and dst is not null)
+    select graph, sum(n)::bigint as rows, count(*) links, 0::bigint broken, true as close from (select graph, a, b, count(*) n from e group by all) group by graph""",
     "p6_degree_by_snapshot": _p6_sql(_DEGREE_ONCE, "graph, snap_id", ["d_in", "d_out"]),
     "p6_degree_by_graph": _p6_sql(_DEGREE_ONCE, "graph", ["d_in", "d_out"]),
+    "p6_degree_from_store": _p6_sql(_DEGREE_ONCE, "graph", ["d_in", "d_out"]),
+    "p6_error_bound": _bound_sql(),
     "p6_distance_by_run": _p6_sql(_BLOCK_ONCE, "graph, run_id", ["mean_dist"]),
     "p6_distance_by_graph": _p6_sql(_BLOCK_ONCE, "graph", ["mean_dist"]),
 }

@@ -43,8 +43,9 @@ def _contract(pick: DataFrame) -> DataFrame:
     point = runtime.materialize(pick.join(back, "to").select("c", parent.alias("p")), "point")
     while True:
         up = point.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        jumped = runtime.materialize(point.join(up, "p").select("c", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "point")
+        before, jumped = point, runtime.materialize(point.join(up, "p").select("c", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "point")
         point = jumped.select("c", "p")
+        runtime.discard(before)
         if jumped.filter("moved").isEmpty():
             return point
 
@@ -70,7 +71,8 @@ def forest(links: DataFrame, rounds: int = 60) -> tuple[DataFrame, DataFrame]:
         else:
             labels = labels.join(point.select(F.col("c").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
         a, b = point.select(F.col("c").alias("ca"), F.col("p").alias("pa")), point.select(F.col("c").alias("cb"), F.col("p").alias("pb"))
-        work = runtime.materialize(work.join(a, "ca").join(b, "cb").filter("pa <> pb").select(F.col("pa").alias("ca"), F.col("pb").alias("cb"), "a", "b"), "links")
+        before, work = work, runtime.materialize(work.join(a, "ca").join(b, "cb").filter("pa <> pb").select(F.col("pa").alias("ca"), F.col("pb").alias("cb"), "a", "b"), "links")
+        runtime.discard(before)
     raise RuntimeError("links left after the last round")
 
 

@@ -224,7 +224,8 @@ def _search(batches: Iterator[pa.RecordBatch], given, coverage: float, keys: flo
                 own, share = items.terms[k], len(items.keys[k] & here) / max(1, len(items.keys[k]))
                 if (k, True) not in found and (share < keys or len(items.bags[k] & here) < coverage * len(items.bags[k]) / 2):
                     continue
-                lcs, longest = _lcs(own, gapped)
+                b = np.where(np.isin(gapped, own), gapped, -1)  # other words only part
+                lcs, longest = _lcs(own, b[(b >= 0) | np.append(True, b[:-1] >= 0)])
                 if longest >= RUN or (share >= keys and lcs >= coverage * len(own)):
                     out.append((ids[d], items.ids[k], longest, lcs, lcs / len(own), share))
         cols = list(zip(*out)) or [()] * 6

@@ -48,6 +48,16 @@ class Embedding:
         return joined.withColumn("distance", d).select(*pairs.columns, "distance")
 
 
+def ranks_of(index: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, rank) of the given nodes in an index (node, rank)."""
+    return index.join(nodes.select("node").distinct(), "node", "left_semi")
+
+
+def nodes_at(index: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(node, rank) of the given ranks."""
+    return index.join(ranks.select("rank").distinct(), "rank", "left_semi").select("node", "rank")
+
+
 @dataclass(frozen=True)
 class SketchParams:
     dim: int = 16

@@ -6,7 +6,7 @@ the JVM and by small matrices in numpy, batch by batch; the driver sees rank x r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +20,9 @@ from graphweft.model import Embedding, Graph, HopeParams, transpose
 from graphweft.operators import normalize
 
 
+PROBES = 16
+
+
 def multiply(edges: DataFrame, block: DataFrame, k: int, width: int = 32) -> DataFrame:
     """(node, v): the edge table times a block of k columns, ``width`` sums at a time."""
     joined = edges.join(block.select(F.col("node").alias("dst"), "v"), "dst")
@@ -77,18 +80,68 @@ def orthonormal(block: DataFrame, k: int, name: str = "block") -> tuple[DataFram
     return runtime.materialize(block, name), k
 
 
-def randomised_svd(edges: DataFrame, nodes: DataFrame, rank: int, nbiter: int = 3, extra: int = 8, seed: int = 0) -> tuple[np.ndarray, DataFrame, DataFrame]:
-    """(sigma, U, V) of the edge table: randomised range finder with ``nbiter`` power iterations."""
-    k = rank + extra
+Product = Callable[[DataFrame, int], DataFrame]
+
+
+def products(edges: DataFrame) -> tuple[Product, Product]:
+    """The edge table and its transpose as products with blocks."""
     edges = runtime.materialize(edges, "matrix")
-    back = transpose(edges)
+    return lambda x, k: multiply(edges, x, k), lambda x, k: multiply(transpose(edges), x, k)
+
+
+def _plus(x: DataFrame, y: DataFrame, a: float, b: float) -> DataFrame:
+    """a x + b y of two blocks; a node that one of them lacks has zeros there."""
+    both = x.join(y.withColumnRenamed("v", "_v"), "node", "full")
+    total = F.zip_with("v", "_v", lambda p, q: F.lit(a) * p + F.lit(b) * q)
+    alone = F.transform(F.coalesce("v", "_v"), lambda p: p * F.when(F.col("v").isNotNull(), F.lit(a)).otherwise(F.lit(b)))
+    return both.select("node", F.when(F.col("v").isNotNull() & F.col("_v").isNotNull(), total).otherwise(alone).alias("v"))
+
+
+def hope_products(g: Graph, p: HopeParams) -> tuple[Product, Product]:
+    """The proximity matrix and its transpose as sparse products in turn, never written out, so a hub costs its edges
+    only: A D^-1 A for ADA; (1 - alpha) times the sum of (alpha P)^k for RPR and the sum of (beta A)^k for KATZ, to the power ``nbiter``."""
+    if p.method == "ADA":
+        fore, back = products(g.edges)
+        d = runtime.materialize(normalize.strength(g.edges).filter("d > 0"), "strengths")
+
+        def through(first: Product, second: Product) -> Product:
+            def run(x: DataFrame, k: int) -> DataFrame:
+                y = runtime.materialize(first(x, k), "product").join(d, "node").select("node", F.transform("v", lambda v: v / F.col("d")).alias("v"))
+                return second(y, k)
+
+            return run
+
+        return through(fore, fore), through(back, back)
+    if p.method not in ("RPR", "KATZ"):
+        raise ValueError(f"no such method: {p.method}")
+    fore, back = products(normalize.row_normalised(g.edges) if p.method == "RPR" else g.edges)
+    factor = p.alpha if p.method == "RPR" else p.beta
+
+    def series(once: Product) -> Product:
+        def run(x: DataFrame, k: int) -> DataFrame:
+            x = runtime.materialize(x, "series")
+            y = x
+            for _ in range(p.nbiter - (p.method == "KATZ")):
+                y = runtime.materialize(_plus(x, once(y, k), 1.0, factor), "series")
+            last, scale = (y, 1 - p.alpha) if p.method == "RPR" else (once(y, k), p.beta)
+            return last.select("node", F.transform("v", lambda v: v * F.lit(scale)).alias("v"))
+
+        return run
+
+    return series(fore), series(back)
+
+
+def randomised_svd(edges: DataFrame | tuple[Product, Product], nodes: DataFrame, rank: int, nbiter: int = 3, extra: int = 8, seed: int = 0) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """(sigma, U, V) of an edge table, or of a matrix given by its products: randomised range finder with ``nbiter`` power iterations."""
+    k = rank + extra
+    fore, back = edges if isinstance(edges, tuple) else products(edges)
     start = nodes.select("node", F.array(*[F.sqrt(-2 * F.log(gf.uniform(F.lit(f"a{seed}"), "node", F.lit(i)))) * F.cos(2 * np.pi * gf.uniform(F.lit(f"b{seed}"), "node", F.lit(i))) for i in range(k)]).alias("v"))
-    q, r = orthonormal(multiply(edges, start, k), k, "range")
+    q, r = orthonormal(fore(start, k), k, "range")
     for _ in range(nbiter):
-        z, rz = orthonormal(multiply(back, q, r), r, "range")
-        q, r = orthonormal(multiply(edges, z, rz), rz, "range")
+        z, rz = orthonormal(back(q, r), r, "range")
+        q, r = orthonormal(fore(z, rz), rz, "range")
     # B = Q'A; B' = A'Q has the Gram matrix BB' = W S^2 W'.
-    bt = runtime.materialize(multiply(back, q, r), "small")
+    bt = runtime.materialize(back(q, r), "small")
     val, vec = np.linalg.eigh(gram(bt, r))
     top = np.argsort(-val)[:rank]
     top = top[val[top] > max(val.max(), 0) * 1e-14]
@@ -96,14 +149,18 @@ def randomised_svd(edges: DataFrame, nodes: DataFrame, rank: int, nbiter: int =
     return sigma, turn(q, vec[:, top]), turn(bt, vec[:, top] / sigma)
 
 
-def adaptive_svd(edges: DataFrame, nodes: DataFrame, epsil: float, maxrank: int, blockiter: int, step: int = 16, seed: int = 0) -> tuple[np.ndarray, DataFrame, DataFrame]:
-    """Rank grows by ``step`` until the part outside the range is at most ``epsil`` of the matrix's norm, or ``maxrank``."""
-    norm = edges.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0] or 0.0
+def adaptive_svd(edges: DataFrame | tuple[Product, Product], nodes: DataFrame, epsil: float, maxrank: int, blockiter: int, step: int = 16, seed: int = 0) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """Rank doubles from ``step`` until the part outside the range is at most ``epsil`` of the matrix's norm, or ``maxrank``.
+
+    The part outside is estimated by random vectors: the norm of M x less that of its projection, ``PROBES`` of them."""
+    fore, back = edges if isinstance(edges, tuple) else products(edges)
+    probe = nodes.select("node", F.array(*[F.when(gf.uniform(F.lit(f"p{seed}"), "node", F.lit(i)) < 0.5, -1.0).otherwise(1.0) for i in range(PROBES)]).alias("v"))
+    whole = float(np.trace(gram(runtime.materialize(fore(probe, PROBES), "probe"), PROBES))) / PROBES
     rank = min(step, maxrank)
     while True:
-        sigma, u, v = randomised_svd(edges, nodes, rank, blockiter, seed=seed)
-        rest = max(0.0, norm**2 - float((sigma**2).sum())) ** 0.5
-        if rest <= epsil * norm or rank >= maxrank or len(sigma) < rank:
+        sigma, u, v = randomised_svd((fore, back), nodes, rank, blockiter, seed=seed)
+        rest = max(0.0, whole - float((sigma**2).sum())) ** 0.5
+        if rest <= epsil * whole**0.5 or rank >= maxrank or len(sigma) < rank:
             return sigma, u, v
         rank = min(2 * rank, maxrank)
 
@@ -117,7 +174,7 @@ def _scaled(sigma: np.ndarray, u: DataFrame, v: DataFrame, scale: np.ndarray) ->
 
 
 def hope_matrix(g: Graph, p: HopeParams) -> DataFrame:
-    """The proximity matrix: ADA Adamic-Adar, RPR truncated rooted PageRank, KATZ truncated Katz."""
+    """The proximity matrix written out, for small graphs: ADA Adamic-Adar, RPR truncated rooted PageRank, KATZ truncated Katz."""
     if p.method == "ADA":
         return normalize.adamic_adar(g.edges)
     if p.method == "RPR":
@@ -131,7 +188,7 @@ def hope_matrix(g: Graph, p: HopeParams) -> DataFrame:
 
 def hope(g: Graph, p: HopeParams = HopeParams()) -> tuple[Embedding, np.ndarray]:
     """Source and target vectors sqrt(sigma) U, sqrt(sigma) V, so that their dot product approximates the proximity; sigma."""
-    m = hope_matrix(g, p)
+    m = hope_products(g, p)
     if p.epsil is not None:
         sigma, u, v = adaptive_svd(m, g.nodes, p.epsil, p.maxrank, p.blockiter)
     else:
@@ -174,6 +231,28 @@ def gsvd(a: np.ndarray, b: np.ndarray) -> Gsvd:
     return Gsvd(u, v, c, s, (wt[:r].T * d[:r]) @ zt.T)
 
 
+def hope_by_gsvd(g: Graph, p: HopeParams, most: int = 2000) -> tuple[Embedding, np.ndarray]:
+    """HOPE of a graph of at most ``most`` nodes from the generalized SVD of the pair (Ml', Mg'), proximity Mg^-1 Ml, in
+    full: KATZ has Mg = I - beta A, Ml = beta A; RPR has Mg = I - alpha P, Ml = (1 - alpha) I. Quotients are in decreasing
+    order, NaN last; the pairs of the first ``rank`` of them are kept."""
+    nodes = [r.node for r in g.nodes.orderBy("node").limit(most + 1).collect()]
+    if len(nodes) > most:
+        raise ValueError(f"more than {most} nodes")
+    at, a = {v: i for i, v in enumerate(nodes)}, np.zeros((len(nodes), len(nodes)))
+    for r in (normalize.row_normalised(g.edges) if p.method == "RPR" else g.edges).collect():  # at most ``most`` squared
+        a[at[r.src], at[r.dst]] += r.w
+    eye = np.eye(len(nodes))
+    ml, mg = {"KATZ": (p.beta * a, eye - p.beta * a), "RPR": ((1 - p.alpha) * eye, eye - p.alpha * a)}[p.method]
+    d = gsvd(ml.T, mg.T)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sigma = d.c / d.s
+    order = np.argsort(np.where(np.isnan(sigma), np.inf, -sigma), kind="stable")[: p.rank]
+    scale = np.sqrt(sigma[order])
+    source, target = d.v[:, order] * scale, d.u[:, order] * scale
+    rows = [(v, source[i].tolist(), target[i].tolist()) for i, v in enumerate(nodes)]
+    return Embedding(g.nodes.sparkSession.createDataFrame(rows, "node long, source array<double>, target array<double>"), gf.dot_distance, False, "hope"), decreasing_nan_last(sigma)[: p.rank]
+
+
 def approximate_gsvd(a: np.ndarray, b: np.ndarray, rank: int, seed: int = 0) -> Gsvd:
     """Each matrix is first reduced to the range of its product with a random one."""
     rng = np.random.default_rng(seed)

@@ -7,15 +7,14 @@ its band of degree.
 
 from __future__ import annotations
 
-import uuid
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphweft import functions as gf
 from graphweft import model, runtime
 from graphweft.model import Graph, HopeParams, SketchParams
-from graphweft.operators import cores, degrees, dense, density, labelled, node_centric, normalize, sketch, spectral
+from graphweft.operators import cores, degrees, dense, density, density_analysis, labelled, node_centric, normalize, sketch, spectral
 from graphweft.operators import link_prediction as lp
 from graphweft.plans import preparation
 from graphweft.runtime import table
@@ -537,13 +536,27 @@ def tentative_density(spark, d):
     return rounded(density.tentative_density(_fw(spark, d, 3)), "y")
 
 
-@query()
+def _isotonic_sql(steps: int) -> str:
+    """CTEs ib (block, lo, hi, n, y) by the min-max form of the regression, and nk (node, block, load)."""
+    return f"""{_fw_sql(steps).replace(" as (", " as materialized (")}, ld as materialized (select node, sum(v) load from (select src node, a v from f{steps} union all select dst, b from f{steps}) group by node),
+dy as materialized (select node, sum(w) y from (select src node, 0.0 w from f{steps} union all select dst, 0.0 from f{steps} union all select case when a > b then src else dst end, w from f{steps}) group by node),
+p0 as (select node, load, y, coalesce(lag(load) over (order by load desc, node) - load > 1e-6, true) fresh from ld join dy using (node)), p1 as materialized (select node, load, y, sum(fresh::int) over (order by load desc, node) k from p0),
+p2 as materialized (select k, min(load) lo, max(load) hi, count(*) n, sum(y) y from p1 group by k), p3 as materialized (select k, sum(n) over (order by k) sn, sum(y) over (order by k) sy from p2),
+av as (select a.k a, b.k b, (b.sy - coalesce(c.sy, 0)) / (b.sn - coalesce(c.sn, 0)) m from p2 a join p3 b on b.k >= a.k left join p3 c on c.k = a.k - 1), mx as (select a, b, max(m) over (partition by a order by b desc) m from av),
+ft as materialized (select b k, round(min(m), 9) f from mx group by b), ib as materialized (select (row_number() over (order by f desc) - 1)::int block, min(lo) lo, max(hi) hi, sum(n)::bigint n, sum(y) / sum(n) y, min(k) k0, max(k) k1 from p2 join ft using (k) group by f),
+nk as materialized (select node, load, block from p1 join ib on k between k0 and k1)"""
+
+
+@query(f"with {R}, {E}, {_isotonic_sql(10)} select block, round(lo, 5) lo, round(hi, 5) hi, n, round(y, 5) y from ib")
 def isotonic_blocks(spark, d):
     a = _fw(spark, d, 10)
-    return density.blocks_of_density(runtime.materialize(density.loads(a).join(density.tentative_density(a), "node"), "density"))
+    return rounded(density.blocks_of_density(runtime.materialize(density.loads(a).join(density.tentative_density(a), "node"), "density")), "lo", "hi", "y", digits=5)
 
 
-@query()
+@query(f"""with {R}, {E}, {_isotonic_sql(10)}, ce as materialized (select case when x.block < y.block then src else dst end n1, case when x.block < y.block then dst else src end n2, least(x.block, y.block) i, greatest(x.block, y.block) j, case when x.block < y.block then a else b end mv from f10 join nk x on x.node = src join nk y on y.node = dst where x.block <> y.block),
+mo as (select k, n1 node, -sum(mv) mv from ce, unnest(range(i, j)) t(k) group by k, n1 union all select k, n2, sum(mv) from ce, unnest(range(i, j)) t(k) group by k, n2), kk as (select block k from ib),
+rl as (select kk.k, nk.block <= kk.k inside, load + coalesce(mv, 0) load from kk cross join nk left join mo on mo.k = kk.k and mo.node = nk.node), sb as (select k, coalesce(min(load) filter (inside) > coalesce(max(load) filter (not inside), '-infinity'::double), false) stable from rl group by k),
+sn as (select a.k block, (select count(*) from sb b where b.k < a.k and b.stable)::int stable_block from sb a) select node, stable_block as block from nk join sn using (block)""")
 def stable_blocks(spark, d):
     return density.decompose(graph(spark, d), 10)[0]
 
@@ -584,21 +597,96 @@ def transition_kl(spark, d):
     return rounded(density.transition_kl(density.transitions(e, m), density.transitions(model.transpose(e), m)), "kl", digits=9)
 
 
-def _stats(spark, d):
-    return density.in_out_stats(_near(spark, d), blocks(spark, d))
+INDEX = """pc as materialized (select a.node, b.node neighbour, count(*) c from h2 a join h2 b on a.slot = b.slot and a.v = b.v and a.node <> b.node group by a.node, b.node),
+lw as materialized (select node from n order by node limit 300), pl as (select a.node, b.node neighbour, count(*) filter (a.v = b.v) c from h2 a join h2 b on a.slot = b.slot and a.node <> b.node where b.node in (from lw) group by a.node, b.node),
+ix as materialized (select * from (select node, neighbour, 1 - c / 16.0 distance, row_number() over (partition by node order by c desc, neighbour) k from (select * from pc union select * from pl)) where k <= 8),
+gd as (select src node, count(*) degree from s group by src), nb as materialized (select node, neighbour, distance from ix join gd using (node) where k <= degree)"""
+CHECK = f"""{SK}, {MB}, {INDEX}, {_t_sql('(select node src, neighbour dst from nb)', 't')}, {_t_sql('s', 'u')},
+st as (select a.block, count(*) n, avg(distance) mean, avg(case when b.block <= a.block then distance end) mean_in, avg(case when b.block > a.block then distance end) mean_out, min(case when a.block = b.block and distance > 0 then distance end) min_in_block from nb join mb a on a.node = nb.node join mb b on b.node = neighbour group by a.block),
+kl as (select t.i block, sum(case when coalesce(u.p, 0) > 0 then t.p * ln(t.p / u.p) else 'infinity'::double end) kl, sum(case when t.j > t.i then t.p else 0 end) fraction_out from t left join u on t.i = u.i and t.j = u.j group by t.i),
+bd as (select block, count(src) degree from mb left join s on src = node group by block), ck as (select * from st join kl using (block) join bd using (block))"""
+
 
+def _check(spark, d):
+    """Blocks are given, so only neighbours and figures are computed."""
+    g = graph(spark, d, False)
+    return density_analysis.analyse(g, sketch.embed(g, P), runtime.materialize(blocks(spark, d), "blocks"), k=8)
 
-STATS = "x as (select a.block, count(*) n, avg(distance) mean, avg(case when b.block <= a.block then distance end) mean_in, avg(case when b.block > a.block then distance end) mean_out, min(case when a.block = b.block and distance > 0 then distance end) min_in_block from nb join mb a on a.node = nb.node join mb b on b.node = neighbour group by a.block)"
 
+@query(f"{SK}, {INDEX} select node, neighbour, distance, k::int rank from ix")
+def neighbour_index(spark, d):
+    return density_analysis.neighbour_index(sketch.embed(graph(spark, d, False), P), 8)
 
-@query(f"{SK}, {NEAR}, {MB}, {STATS} select block, n, round(mean, 9) mean, round(mean_in, 9) mean_in, round(mean_out, 9) mean_out, min_in_block from x")
+
+@query(f"{CHECK} select block, n, round(mean, 9) mean, round(mean_in, 9) mean_in, round(mean_out, 9) mean_out, min_in_block, round(fraction_out, 9) fraction_out, round(kl, 9) kl, degree from ck")
 def block_in_out_stats(spark, d):
-    return rounded(_stats(spark, d), "mean", "mean_in", "mean_out", digits=9)
+    return rounded(_check(spark, d).check, "mean", "mean_in", "mean_out", "fraction_out", "kl", digits=9)
 
 
-@query(f"{SK}, {NEAR}, {MB}, {STATS}, v as (select quantile_cont(mean_in / mean_out, {list(density.BLOCK_QUANTILES)}) v from x where mean_out > 0 and mean_in is not null) select unnest({list(density.BLOCK_QUANTILES)})::double q, round(unnest(v), 9) ratio from v")
+@query(f"{CHECK}, v as (select quantile_cont(mean_in / mean_out, {list(density.BLOCK_QUANTILES)}) v from ck where mean_out > 0 and mean_in is not null) select unnest({list(density.BLOCK_QUANTILES)})::double q, round(unnest(v), 9) ratio from v")
 def block_ratio_quantiles(spark, d):
-    return rounded(density.ratio_quantiles(_stats(spark, d)), "ratio", digits=9)
+    return rounded(density.ratio_quantiles(_check(spark, d).check), "ratio", digits=9)
+
+
+@query(f"{CHECK} select round(sum(degree * mean_in / mean_out) / sum(degree), 9) ratio from ck where block < (select max(block) from ck) and mean_out > 0 and mean_in is not null")
+def block_ratio_weighted(spark, d):
+    return rounded(density_analysis.weighted_ratio(_check(spark, d).check), "ratio", digits=9)
+
+
+@query(f"{CHECK}, v as (select quantile_cont(kl, {list(density.BLOCK_QUANTILES)}) v from ck) select unnest({list(density.BLOCK_QUANTILES)})::double q, round(unnest(v), 9) kl from v")
+def block_kl_quantiles(spark, d):
+    return rounded(density_analysis.kl_quantiles(_check(spark, d).check), "kl", digits=9)
+
+
+@query("select 0::bigint n")
+def density_analysis_stored(spark, d):
+    """Decomposition, embedding, index and check are computed, stored and loaded; the check of what was loaded is the same."""
+    g, at = graph(spark, d, False), runtime.scratch(spark, "analysis")
+    e = sketch.embed(g, P)
+    done = density_analysis.analyse(g, e, steps=10, k=8)
+    store.dump_embedding(e, store.Output(f"{at}/embedding"))
+    for name, t in (("blocks", done.member), ("index", done.index), ("check", done.check)):
+        store.dump_table(t, store.Output(f"{at}/{name}"))
+    again = density_analysis.analyse(g, store.load_embedding(spark, f"{at}/embedding"), store.load_table(spark, f"{at}/blocks"), store.load_table(spark, f"{at}/index"))
+    cols = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in done.check.dtypes]
+    return store.differences(store.load_table(spark, f"{at}/check").select(*cols), again.check.select(*cols)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {R}, {N}, {E}, {MB} select block, (sum(count(*)) over (order by block) - count(*))::bigint as start, count(*) size from mb group by block")
+def block_starts(spark, d):
+    return density_analysis.block_starts(blocks(spark, d))
+
+
+@query(f"with {R}, {N}, {E}, {MB} select count(distinct block) blocks, count(*) nodes, round(count(*) / count(distinct block), 9) mean_size from mb")
+def decomposition_summary(spark, d):
+    return rounded(density_analysis.summary(blocks(spark, d)), "mean_size", digits=9)
+
+
+@query(f"with {R}, {N}, {E}, {CO}, {MB}, z as (select block, count(*) size from mb group by block) select community, block, count(*) n, round(count(*) * 200 / any_value(size), 9) as share from co join mb using (node) join z using (block) group by community, block")
+def community_blocks(spark, d):
+    return rounded(density_analysis.community_blocks(communities(spark, d), blocks(spark, d)), "share", digits=9)
+
+
+@query(f"with {R}, {N}, {E}, {CO}, {MB} select community, min(block) as first, max(block) as last from co join mb using (node) group by community")
+def community_block_range(spark, d):
+    return density_analysis.community_block_range(communities(spark, d), blocks(spark, d))
+
+
+_CQ = [0.05, 0.25, 0.5, 0.75, 0.9, 0.95]
+
+
+@query(f"""{SK}, co as (select distinct unnest([src, dst]) node, label community from r where label is not null), ds as (select e.src, e.dst, 1 - count(*) filter (a.v = b.v) / 16.0 distance from e join h2 a on a.node = e.src join h2 b on b.node = e.dst and a.slot = b.slot group by all),
+cl as (select c.community, avg(case when o.node is not null then distance end) / nullif(avg(case when o.node is null then distance end), 0) ratio from ds join co c on c.node = ds.src left join co o on o.node = ds.dst and o.community = c.community group by c.community),
+cr as (select ratio, size from cl join (select community, count(*) size from co group by community) using (community) where ratio is not null),
+v as (select quantile_cont(ratio, {_CQ}) v from cr), f as (select 'mean' figure, avg(ratio) x from cr union all select 'weighted_mean', sum(ratio * size) / sum(size) from cr union all select 'not_below_one', count(*) filter (ratio >= 1) from cr union all select 'communities', count(*) from cr union all select 'q' || unnest({_CQ})::double, unnest(v) from v)
+select figure, round(x::double, 9) as value from f""")
+def community_evaluation(spark, d):
+    """Communities are the nodes at edges of a label; nodes of different graphs have no edges."""
+    e = graph(spark, d).edges.select("src", "dst")
+    dist = sketch.embed(graph(spark, d, False), P).pair_distances(e)
+    labels = model.usable_rows(rows(spark, d)).filter("label is not null").select(F.explode(F.array("src", "dst")).alias("node"), F.col("label").alias("community"))
+    co = runtime.materialize(labels.distinct(), "communities")
+    return rounded(density_analysis.community_evaluation(density.community_in_out(e, dist, co), co), "value", digits=9)
 
 
 @query(f"""{SK}, {CO}, ds as (select e.src, e.dst, 1 - count(*) filter (a.v = b.v) / 16.0 distance from e join h2 a on a.node = e.src join h2 b on b.node = e.dst and a.slot = b.slot group by all)
@@ -652,25 +740,47 @@ def hope_ada_dot(spark, d):
     return all_pairs.join(a, "src").join(b, "dst").select("src", "dst", F.round(gf.dot("source", "target"), 3).alias("w"))
 
 
-@query()
-def hope_spectrum(spark, d):
-    sigma = spectral.hope(nations(spark, d), HopeParams("ADA", rank=10, nbiter=3))[1]
-    return spark.createDataFrame([(i, round(float(s), 4)) for i, s in enumerate(sigma)], "k int, sigma double")
+def _spectrum(spark, sigma):
+    return spark.createDataFrame([(i, float(s)) for i, s in enumerate(sigma)], "k int, sigma double")
 
 
 @query()
 def hope_sparse_spectrum(spark, d):
     """Singular values of the weighted adjacency of the whole edge list: products only, no dense matrix of nodes."""
     g = graph(spark, d)
-    sigma = spectral.randomised_svd(g.edges, g.nodes, 6, nbiter=2, extra=4)[0]
-    return spark.createDataFrame([(i, float(s)) for i, s in enumerate(sigma)], "k int, sigma double")
+    return _spectrum(spark, spectral.randomised_svd(g.edges, g.nodes, 6, nbiter=2, extra=4)[0])
+
 
+def _hope_query(method: str):
+    p = HopeParams(method, rank=8, nbiter=2, alpha=0.5, beta=0.001)
 
-@query("select unnest([0, 1]) k, unnest([0.9807, 0.3155])::double c, unnest([0.1957, 0.9489])::double s")
-def gsvd_small(spark, d):
-    a = [[1, 6, 11], [2, 7, 12], [3, 8, 13], [4, 9, 14], [5, 10, 15]]
-    g = spectral.gsvd(a, [[8, 1, 6], [3, 5, 7], [4, 9, 2]])
-    return spark.createDataFrame([(i, round(float(g.c[i]), 4), round(float(g.s[i]), 4)) for i in range(2)], "k int, c double, s double")
+    def run(spark, d):
+        e, sigma = spectral.hope(graph(spark, d), p)
+        v = runtime.materialize(e.vectors, "hope")
+        g = spectral.gram(v.select(F.col("source").alias("v")), len(sigma)), spectral.gram(v.select(F.col("target").alias("v")), len(sigma))
+        far = [float(abs(m - np.diag(sigma)).max() / max(sigma.max(), 1e-300)) for m in g]
+        return spark.createDataFrame([(len(sigma), bool((np.diff(sigma) <= 1e-9 * sigma.max()).all()), max(far) < 1e-6)], "rank int, decreasing boolean, orthogonal boolean")
+
+    run.__name__ = f"hope_{method.lower()}_edges"
+    run.__doc__ = f"""{method} embedding of the whole edge list by products; its vectors are orthogonal with the singular values as squared lengths."""
+    return query("select 8::int as rank, true as decreasing, true as orthogonal")(run)
+
+
+hope_ada_edges, hope_rpr_edges, hope_katz_edges = map(_hope_query, ("ADA", "RPR", "KATZ"))
+
+_KZ = "t1 as materialized (select src, dst, 0.1 * w / sum(w) over (partition by src) w from w)" + "".join(f", t{k} as materialized (select a.src, b.dst, sum(a.w * b.w) w from t{k - 1} a join t1 b on a.dst = b.src group by all)" for k in range(2, 13))
+
+
+@query(f"with {NAT}, {_KZ}, z as (" + " union all ".join(f"select * from t{k}" for k in range(1, 13)) + ") select src, dst, round(sum(w), 6) w from z group by src, dst")
+def hope_katz_gsvd(spark, d):
+    """The Katz index from the generalized SVD of the graph of nations, against its series."""
+    g = nations(spark, d)
+    g = Graph(normalize.row_normalised(g.edges), g.nodes, True)
+    e, _ = spectral.hope_by_gsvd(g, HopeParams("KATZ", rank=25, beta=0.1))
+    v = runtime.materialize(e.vectors, "hope")
+    a, b = v.select(F.col("node").alias("src"), "source"), v.select(F.col("node").alias("dst"), "target")
+    pairs = g.edges.select("src", "dst")
+    return pairs.join(a, "src").join(b, "dst").select("src", "dst", F.round(gf.dot("source", "target"), 6).alias("w"))
 
 
 # Round trips
@@ -678,7 +788,7 @@ def gsvd_small(spark, d):
 
 @query("select 0::bigint n")
 def embedding_roundtrip(spark, d):
-    at = f"{runtime.shared_dir(spark).rstrip('/')}/graphweft/embedding-{uuid.uuid4().hex}"
+    at = runtime.scratch(spark, "embedding")
     e = sketch.embed(graph(spark, d, False), P)
     store.dump_embedding(e, store.Output(at))
     return store.differences(e.vectors, store.load_embedding(spark, at, "array<bigint>").vectors).agg(F.count(F.lit(1)).alias("n"))
@@ -686,7 +796,7 @@ def embedding_roundtrip(spark, d):
 
 @query("select 0::bigint n")
 def decomposition_roundtrip(spark, d):
-    at = f"{runtime.shared_dir(spark).rstrip('/')}/graphweft/blocks-{uuid.uuid4().hex}"
+    at = runtime.scratch(spark, "blocks")
     b = runtime.materialize(blocks(spark, d), "blocks")
     store.dump_table(b, store.Output(at, "json"))
     return store.differences(b, store.load_table(spark, at)).agg(F.count(F.lit(1)).alias("n"))

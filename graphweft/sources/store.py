@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphweft import functions as gf
 from graphweft.model import Embedding
@@ -45,7 +46,7 @@ def dump_embedding(e: Embedding, out: Output = Output()) -> None:
     vec = "vec" if e.symmetric else "source"
     row = written.agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
     kind = dict(e.vectors.dtypes)[vec]
-    _write_header(spark, out, {"version": VERSION, "symmetric": e.symmetric, "kind": e.kind, "type": kind, "dimension": row[1] or 0, "nbdata": row[0], "format": out.format})
+    _write_header(spark, out, {"version": VERSION, "symmetric": e.symmetric, "kind": e.kind, "type": kind, "schema": e.vectors.schema.jsonValue(), "dimension": row[1] or 0, "nbdata": row[0], "format": out.format})
 
 
 def load_embedding(spark: SparkSession, name: str, expect: str | None = None) -> Embedding:
@@ -53,9 +54,7 @@ def load_embedding(spark: SparkSession, name: str, expect: str | None = None) ->
     h = read_header(spark, name)
     if expect is not None and h["type"] != expect:
         raise ValueError(f"vectors are {h['type']}, not {expect}")
-    cols = ["vec"] if h["symmetric"] else ["source", "target"]
-    id_type = "long"
-    vectors = spark.read.format(h["format"]).schema(f"node {id_type}, " + ", ".join(f"{c} {h['type']}" for c in cols)).load(f"{name}/vectors")
+    vectors = spark.read.format(h["format"]).schema(StructType.fromJson(h["schema"])).load(f"{name}/vectors")
     return Embedding(vectors, gf.positional_distance if h["kind"] == "sketch" else gf.dot_distance, h["symmetric"], h["kind"])
 
 
@@ -66,8 +65,6 @@ def dump_table(df: DataFrame, out: Output) -> None:
 
 
 def load_table(spark: SparkSession, name: str) -> DataFrame:
-    from pyspark.sql.types import StructType
-
     h = read_header(spark, name)
     return spark.read.format(h["format"]).schema(StructType.fromJson(h["schema"])).load(f"{name}/table")
 
@@ -75,11 +72,11 @@ def load_table(spark: SparkSession, name: str) -> DataFrame:
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that only one of two tables has, with multiplicity; empty if they are equal."""
     cols = a.columns
-    one = a.withColumn("side", F.lit("a")).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
-    two = b.select(*cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("m"))
+    one = a.withColumn("side", F.lit("a")).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    two = b.select(*cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("_m"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in cols]
     cond = same[0]
     for c in same[1:]:
         cond = cond & c
     both = one.alias("a").join(two.alias("b"), cond, "full")
-    return both.filter(F.coalesce("n", F.lit(0)) != F.coalesce("m", F.lit(0))).select(*[F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) for c in cols])
+    return both.filter(F.coalesce("_n", F.lit(0)) != F.coalesce("_m", F.lit(0))).select(*[F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) for c in cols])

@@ -164,6 +164,28 @@ def test_centric_figures_of_dense_directed_vectors(spark):
         assert r.found == sum((r.node, j) in gone for j in best)
 
 
+@pytest.mark.parametrize("method", ["ADA", "RPR", "KATZ"])
+def test_hope_by_products_and_by_gsvd(spark, method):
+    rng = np.random.default_rng(3)
+    a = (rng.random((12, 12)) < 0.4) * rng.random((12, 12))
+    np.fill_diagonal(a, 0)
+    g = model.build(spark.createDataFrame([(i, j, float(a[i, j])) for i in range(12) for j in range(12) if a[i, j]], "src long, dst long, w double"))
+    p = HopeParams(method, rank=4, nbiter=6, alpha=0.3, beta=0.05)
+    row = a / np.maximum(a.sum(1, keepdims=True), 1e-300)
+    m = {"ADA": a @ np.diag(1 / np.maximum(a.sum(0) + a.sum(1), 1e-300)) @ a, "RPR": 0.7 * sum(0.3**k * np.linalg.matrix_power(row, k) for k in range(7)), "KATZ": sum(0.05**k * np.linalg.matrix_power(a, k) for k in range(1, 7))}[method]
+    u, s, v = np.linalg.svd(m)
+    e, sigma = spectral.hope(g, p)
+    assert np.allclose(sigma, s[:4], rtol=1e-5)
+    got = {r.node: (np.array(r.source), np.array(r.target)) for r in e.vectors.collect()}
+    near = np.array([[got[i][0] @ got[j][1] for j in range(12)] for i in range(12)])
+    assert np.allclose(near, (u[:, :4] * s[:4]) @ v[:4], atol=1e-4)
+    if method != "ADA":
+        full = 0.7 * np.linalg.inv(np.eye(12) - 0.3 * row) if method == "RPR" else np.linalg.inv(np.eye(12) - 0.05 * a) @ (0.05 * a)
+        e, _ = spectral.hope_by_gsvd(g, HopeParams(method, rank=12, alpha=0.3, beta=0.05))
+        got = {r.node: (np.array(r.source), np.array(r.target)) for r in e.vectors.collect()}
+        assert np.allclose([[got[i][0] @ got[j][1] for j in range(12)] for i in range(12)], full, atol=1e-6)
+
+
 def test_p_core(spark):
     g = toy(spark)
     assert {r.node for r in cores.p_core(g.edges, g.nodes, 2).collect()} == set(range(1, 8))

@@ -162,6 +162,15 @@ def _lcs(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return int(prev[-1]), best
 
 
+def _have_run(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sequences of terms have a run of RUN in common: diagonals of equal terms, doubled."""
+    same, n = (a[:, None] == b[None, :]) & (b >= 0), 1
+    while n < RUN and same.size:
+        step = min(n, RUN - n)
+        same, n = same[:-step, :-step] & same[step:, step:], n + step
+    return bool(same.any())
+
+
 class _Items:
     """A block's items: terms, latent windows, key terms."""
 
@@ -182,6 +191,9 @@ class _Items:
         self.basis = basis * idf[:, None]
         self.latent = self.unit(self.windows)
         self.bags = [set(t.tolist()) for t in self.terms]
+        self.holds = np.zeros((len(self.terms), size + 1), bool)  # by term; the last, also met as -1, is none
+        for k, t in enumerate(self.terms):
+            self.holds[k, t] = True
         self.keys = [{x for x in t.tolist() if idf[x] >= np.quantile(idf[t], 0.6)} for t in self.terms]
 
     def unit(self, w: np.ndarray) -> np.ndarray:
@@ -222,10 +234,14 @@ def _search(batches: Iterator[pa.RecordBatch], given, coverage: float, keys: flo
             here, gapped = set(t.tolist()), np.insert(t, np.flatnonzero(np.diff(p) != 1) + 1, -1)
             for k in {k for k, _ in found}:
                 own, share = items.terms[k], len(items.keys[k] & here) / max(1, len(items.keys[k]))
-                if (k, True) not in found and (share < keys or len(items.bags[k] & here) < coverage * len(items.bags[k]) / 2):
+                like = share >= keys and len(items.bags[k] & here) >= coverage * len(items.bags[k]) / 2
+                if not like and (k, True) not in found:
+                    continue
+                b = np.where(items.holds[k][gapped], gapped, -1)  # other words only part
+                b = b[(b >= 0) | np.append(True, b[:-1] >= 0)]
+                if not like and not _have_run(own, b):
                     continue
-                b = np.where(np.isin(gapped, own), gapped, -1)  # other words only part
-                lcs, longest = _lcs(own, b[(b >= 0) | np.append(True, b[:-1] >= 0)])
+                lcs, longest = _lcs(own, b)
                 if longest >= RUN or (share >= keys and lcs >= coverage * len(own)):
                     out.append((ids[d], items.ids[k], longest, lcs, lcs / len(own), share))
         cols = list(zip(*out)) or [()] * 6

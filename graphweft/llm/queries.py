@@ -38,7 +38,7 @@ def _each_field(spark: SparkSession, d: str, **options) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours of cosine 0.9 or more among the 5 nearest; the bound is passed down, so only leaves that can hold them are visited."""
-    n = _each_field(spark, d, recall=0.995, least=0.9).filter("cosine >= 0.9")
+    n = _each_field(spark, d, recall=1.0, least=0.9).filter("cosine >= 0.9")
     return n.select("field", F.least("id", "neighbour").alias("node_a"), F.greatest("id", "neighbour").alias("node_b")).distinct()
 
 

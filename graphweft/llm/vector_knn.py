@@ -3,12 +3,13 @@
 A tree of two levels is fitted on a sample of at most ``SAMPLE`` vectors a field; every vector is indexed in it. A query
 takes bins from a priority queue, nearest centroid first: a popped inner node puts its leaves into the queue, a popped
 leaf is visited. As a node leaves the queue before its leaves enter it, a leaf's turn is the larger of the two
-distances, which is computed for a whole batch at once. The number of leaves to visit is widened until calibration
-queries, compared with all vectors by brute force, reach the wanted recall.
+distances, which is computed for a whole batch at once. A pair is met if either of the two visits the other's leaf, and
+counts for both. The number of leaves to visit is widened until calibration queries, compared with all vectors by brute
+force, reach the wanted recall.
 
 Leaves of an inner node are packed into cells of about ``ROWS`` vectors; a larger leaf is cut into blocks. A vector goes
-to the cell of its leaf once, and as a query to other cells that hold leaves it visits. Of equal vectors only the k + 1
-least ids are compared; the rest get their neighbours from these, so a group of copies of any size stays cheap.
+to the cell of its leaf once, and as a query to other cells that hold leaves it visits. Of vectors of equal direction only the
+k + 1 least ids are compared; the rest get their neighbours from these, so a group of copies of any size stays cheap.
 
 Defined results: vectors that are null, of another dimension, not finite or all zero take no part; repeated rows of an
 id are one; ties go to the smaller id; a vector is never its own neighbour; a field without vectors has no rows.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from graphweft import runtime
 
-SAMPLE, LEAF, PER_LEAF, QUERIES, ROWS = 200_000, 256, 32, 1000, 20_000
+SAMPLE, LEAF, PER_LEAF, QUERIES, ROWS = 200_000, 256, 48, 1000, 20_000
 OUT = "field string, id long, neighbour long, cosine double"
 
 
@@ -104,23 +105,33 @@ def _pack(tree: Tree, x: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _true(batches: Iterator[pa.RecordBatch], given, dim: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Per partition, each calibration query's best by brute force: (q, cosine, leaf, id)."""
+    """Per partition, each calibration query's best by brute force: (q, cosine, turn, id), ``turn`` being the number of leaves
+    that the query, or else the other vector, visits before the leaf of the other."""
     queries, own, tree = given.value
-    score, leaf, ids = np.full((len(queries), k), -2, np.float32), np.full((len(queries), k), -1), np.full((len(queries), k), -1)
+    n = len(queries)
+    score, ids, kept = np.full((n, 0), -2, np.float32), np.zeros((n, 0), np.int64), np.zeros((n, 0, dim), np.float32)
     for batch in batches:
         rows, x = _matrix(batch.column(1), dim)
-        node, home = np.asarray(batch.column(0))[rows], tree.home(x)
+        node = np.asarray(batch.column(0))[rows]
         for i in range(0, len(x), 4096):
             s = queries @ x[i : i + 4096].T
             s[own[:, None] == node[None, i : i + 4096]] = -2
             far = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
             score = np.concatenate((score, np.take_along_axis(s, far, 1)), 1)
-            leaf, ids = np.concatenate((leaf, home[i + far]), 1), np.concatenate((ids, node[i + far]), 1)
-            top = np.argsort(-score, axis=1, kind="stable")[:, : 2 * k]
-            score, leaf, ids = (np.take_along_axis(v, top, 1) for v in (score, leaf, ids))
-    q = np.repeat(np.arange(len(queries)), score.shape[1])
-    there = score.ravel() > -2
-    yield pa.RecordBatch.from_arrays([pa.array(q[there]), pa.array(score.ravel()[there].astype(np.float64)), pa.array(leaf.ravel()[there]), pa.array(ids.ravel()[there])], names=["q", "cosine", "leaf", "id"])
+            ids, kept = np.concatenate((ids, node[i + far]), 1), np.concatenate((kept, x[i + far]), 1)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            score, ids, kept = np.take_along_axis(score, top, 1), np.take_along_axis(ids, top, 1), np.take_along_axis(kept, top[:, :, None], 1)
+    turns = tree.turns(queries)
+    home, q = np.argmin(turns, axis=1), np.repeat(np.arange(n), score.shape[1])
+    flat, there = kept.reshape(-1, dim), score.ravel() > -2
+    turn = np.zeros(len(q), np.int64)
+    for i in range(0, len(q), 4096):
+        other, mine = tree.turns(flat[i : i + 4096]), q[i : i + 4096]
+        at = np.arange(len(mine))
+        back = (other < other[at, home[mine]][:, None]).sum(1)
+        goal = turns[mine, np.argmin(other, axis=1)]
+        turn[i : i + 4096] = np.minimum(back, (turns[mine] < goal[:, None]).sum(1))
+    yield pa.RecordBatch.from_arrays([pa.array(q[there]), pa.array(score.ravel()[there].astype(np.float64)), pa.array(turn[there]), pa.array(ids.ravel()[there])], names=["q", "cosine", "turn", "id"])
 
 
 def calibrate(vectors: DataFrame, tree: Tree, queries: np.ndarray, own: np.ndarray, dim: int, k: int, recall: float, least: float) -> int:
@@ -129,14 +140,10 @@ def calibrate(vectors: DataFrame, tree: Tree, queries: np.ndarray, own: np.ndarr
     if len(tree.leaf) == 1 or not len(queries):
         return 1
     given = spark.sparkContext.broadcast((queries, own, tree))
-    best = vectors.mapInArrow(lambda b: _true(b, given, dim, k), "q long, cosine double, leaf long, id long").distinct()
-    ranked = best.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("cosine", "leaf")), asc=False), 1, k).alias("top")).select("q", F.explode("top").alias("t")).filter(F.col("t.cosine") >= least)
-    rows = ranked.select("q", "t.leaf").toPandas()  # k rows a query
-    if not len(rows):
-        return 1
-    order = np.argsort(np.argsort(tree.turns(queries), axis=1, kind="stable"), axis=1, kind="stable")
-    turn = np.sort(order[rows["q"].to_numpy(), rows["leaf"].to_numpy()])
-    return int(turn[min(len(turn) - 1, math.ceil(recall * len(turn)) - 1)]) + 1
+    best = vectors.mapInArrow(lambda b: _true(b, given, dim, k), "q long, cosine double, turn long, id long").distinct()
+    ranked = best.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("cosine", "turn")), asc=False), 1, k).alias("top")).select("q", F.explode("top").alias("t")).filter(F.col("t.cosine") >= least)
+    turn = np.sort(ranked.select("t.turn").toPandas()["turn"].to_numpy())  # k rows a query
+    return int(turn[min(len(turn) - 1, math.ceil(recall * len(turn)) - 1)]) + 1 if len(turn) else 1
 
 
 def _route(batches: Iterator[pa.RecordBatch], given, dim: int, visits: int) -> Iterator[pa.RecordBatch]:
@@ -191,57 +198,77 @@ def _visit(table: pa.Table, k: int, least: float) -> pa.Table:
     begin = np.searchsorted(group[by], np.arange(len(first) + 1))
     x, x_leaf = vec[data[first]], leaf[data[first]]
     got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    kth = np.full(len(ids), least - 1e-6, np.float32)  # of a later leaf no worse answer is needed
+    # Of a later leaf no worse answer is needed, for a query or for a vector of the block; one of the best may be itself.
+    kth, kth_x = np.full(len(ids), least - 1e-6, np.float32), np.full(len(x), least - 1e-6, np.float32)
     for f in np.unique(x_leaf).tolist():
         own, ask = np.flatnonzero(x_leaf == f), who[asked == f]
         for i in range(0, len(ask), 2048):
             a = ask[i : i + 2048]
             s = vec[a] @ x[own].T
-            if least < 0.5 and s.shape[1] > k:
+            if s.shape[1] > k:
                 kth[a] = np.maximum(kth[a], np.partition(s, s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1])
-            r, c = np.nonzero(s >= kth[a][:, None])
+            if s.shape[0] > k:
+                kth_x[own] = np.maximum(kth_x[own], np.partition(s, s.shape[0] - k - 1, axis=0)[s.shape[0] - k - 1])
+            r, c = np.nonzero((s >= kth[a][:, None]) | (s >= kth_x[own][None, :]))
             got.append((a[r], own[c], s[r, c]))
     q = np.concatenate([g[0] for g in got]) if got else np.zeros(0, int)
     d = np.concatenate([g[1] for g in got]) if got else np.zeros(0, int)
     s = np.concatenate([g[2] for g in got]) if got else np.zeros(0, np.float32)
-    member = begin[d + 1] - begin[d] if len(d) else np.zeros(0, int)
-    member = np.minimum(member, k + 1)
+    member = np.minimum(begin[d + 1] - begin[d], k + 1) if len(d) else np.zeros(0, int)
     rep = np.repeat(np.arange(len(d)), member)
-    other = ids[data[by[np.repeat(begin[d] if len(d) else d, member) + np.arange(len(rep)) - np.repeat(np.cumsum(member) - member, member)]]] if len(d) else np.zeros(0, np.int64)
-    me, score = ids[q[rep]], s[rep]
-    keep = me != other
-    me, other, score, d = me[keep], other[keep], score[keep], d[rep][keep]
-    order = np.lexsort((other, -score, me))
-    me, other, score = me[order], other[order], score[order]
-    start = np.searchsorted(me, me)
-    top = (np.arange(len(me)) - start < k) & (score >= least - 1e-6)
-    return pa.table({"id": me[top], "neighbour": other[top], "cosine": np.minimum(score[top].astype(np.float64), 1.0)})
+    row = data[by[np.repeat(begin[d] if len(d) else d, member) + np.arange(len(rep)) - np.repeat(np.cumsum(member) - member, member)]] if len(d) else d
+    # Each pair counts for both; the few best by the fast product are scored once more, alike wherever they meet.
+    me, other, score = np.concatenate((q[rep], row)), np.concatenate((row, q[rep])), np.concatenate((s[rep], s[rep]))
+
+    def ranked(score: np.ndarray, most: int) -> np.ndarray:
+        order = np.lexsort((ids[other], -score, ids[me]))
+        mine = ids[me[order]]
+        return order[np.arange(len(order)) - np.searchsorted(mine, mine) < most]
+
+    pair = np.lexsort((-score, ids[other], ids[me]))
+    once = np.ones(len(pair), bool)
+    once[1:] = (ids[me[pair]][1:] != ids[me[pair]][:-1]) | (ids[other[pair]][1:] != ids[other[pair]][:-1])
+    pair = pair[once & (ids[me[pair]] != ids[other[pair]])]
+    me, other, score = me[pair], other[pair], score[pair]
+    top = ranked(score, k + 3)
+    me, other = me[top], other[top]
+    exact = np.concatenate([np.einsum("ij,ij->i", vec[me[i : i + 65536]].astype(np.float64), vec[other[i : i + 65536]].astype(np.float64)) for i in range(0, len(me), 65536)]) if len(me) else np.zeros(0)
+    top = ranked(exact, k)
+    top = top[exact[top] >= least - 1e-6]
+    return pa.table({"id": ids[me[top]], "neighbour": ids[other[top]], "cosine": np.minimum(exact[top], 1.0)})
 
 
 def nearest(df: DataFrame, field: str, id: str, vector: str, dim: int, k: int = 5, recall: float = 0.93, least: float = -1.0, seed: int = 0) -> DataFrame:
     """(field, id, neighbour, cosine): the k most similar vectors of each, those of cosine at least ``least``.
 
     The wanted ``recall`` is over the neighbours that ``least`` admits. Sample and calibration queries are bounded by
-    ``SAMPLE`` and ``QUERIES``; everything else covers all rows.
+    ``SAMPLE`` and ``QUERIES``; everything else covers all rows. Below 3000 vectors or so the tree knows its queries.
     """
     spark = df.sparkSession
     runtime.ship(spark)
     vectors = df.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vec")).filter(F.col("id").isNotNull() & (F.size("vec") == dim))
-    hashed = vectors.withColumn("h", F.xxhash64("vec"))
+    # Direction to five digits; vectors so near differ in no cosine that is told apart here.
+    top = F.array_max(F.transform("vec", lambda v: F.abs(v).cast("double")))
+    scaled = F.transform("vec", lambda v: F.try_divide(v.cast("double"), F.col("top")))
+    straight = vectors.withColumn("top", top).withColumn("norm", F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, v: s + v * v)) * F.col("top"))
+    hashed = straight.select("id", "vec", F.xxhash64(F.transform("vec", lambda v: F.round(F.try_divide(v.cast("double"), F.col("norm")), 5) + F.lit(0.0))).alias("h"))
     hot = runtime.materialize(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1).select("h"), "copies")  # 8 bytes a vector
     rest = None
     if not hot.isEmpty():
         vectors, rest = _thin(hashed, hot, k)
     total = vectors.count()
-    wanted = min(SAMPLE, max(QUERIES, PER_LEAF * (total // LEAF + 1)))
+    wanted = QUERIES + min(SAMPLE, PER_LEAF * (total // LEAF + 1))
     share = min(1.0, 1.1 * wanted / max(total, 1))
     drawn = vectors.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) <= int(share * 1_000_000)).limit(2 * wanted).select("id", "vec").toArrow().combine_chunks()
     rows, x = _matrix(drawn.column("vec").combine_chunks() if drawn.num_rows else pa.array([], pa.list_(pa.float32())), dim)
     if not len(x):
         return spark.createDataFrame([], OUT)
-    tree = Tree(x, max(1, min(total // LEAF, len(x) // PER_LEAF)), seed)
     own = np.asarray(drawn.column("id"))[rows]
-    visits = calibrate(vectors.select("id", "vec"), tree, x[:QUERIES], own[:QUERIES], dim, k, recall, least)
+    # Queries from all over the table, which the tree isn't fitted on, as it would know them better than others.
+    pick = np.argsort(own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
+    pick, fit = pick[:QUERIES], pick[QUERIES:] if len(pick) > 2 * QUERIES else pick
+    tree = Tree(x[fit], max(1, min(total // LEAF, len(fit) // PER_LEAF)), seed)
+    visits = calibrate(vectors.select("id", "vec"), tree, x[pick], own[pick], dim, k, recall, least)
     given = spark.sparkContext.broadcast((tree, *_pack(tree, x, total)))
     routed = vectors.select("id", "vec").mapInArrow(lambda b: _route(b, given, dim, visits), _ROUTED)
     found = routed.groupBy("cell", "block").applyInArrow(lambda t: _visit(t, k, least), "id long, neighbour long, cosine double")

@@ -18,7 +18,7 @@ from graphweft.operators import cores, degrees, dense, density, density_analysis
 from graphweft.operators import link_prediction as lp
 from graphweft.plans import preparation
 from graphweft.runtime import table
-from graphweft.sources import raw_lines, store
+from graphweft.sources import edge_files, raw_lines, store
 
 P = SketchParams(16, 0.2, 2)
 KNN, SKIP = 5, 0.2
@@ -783,6 +783,39 @@ def hope_katz_gsvd(spark, d):
     return pairs.join(a, "src").join(b, "dst").select("src", "dst", F.round(gf.dot("source", "target"), 6).alias("w"))
 
 
+# Text files: a table is written as text, read again and loaded
+
+
+def _as_text(spark, d, cols: str, sep: str, where: str = "true") -> str:
+    path = runtime.scratch(spark, "text")
+    model.usable_rows(rows(spark, d)).filter(where).selectExpr(f"concat_ws('{sep}', {cols}) value").write.text(path)
+    return path
+
+
+@query(f"with {R}, {E} select src, dst, round(w, 6) w from e")
+def text_edges(spark, d):
+    """Three fields, weighted."""
+    return rounded(edge_files.load_graph(spark, _as_text(spark, d, "src, dst, w", ","), True).edges, "w")
+
+
+@query(f"with {R}, u as (select src, dst, count(*)::double w from r where src <> dst group by all) select src, dst, sum(w) w from (select src, dst, w from u union all select dst, src, w from u) group by src, dst")
+def text_edges_unweighted(spark, d):
+    """Two fields, each line of weight 1, undirected."""
+    return edge_files.load_graph(spark, _as_text(spark, d, "src, dst", "\t"), False).edges
+
+
+@query(f"with {R} select distinct least(src, dst) src, greatest(src, dst) dst, 1.0::double w, null::varchar as label from r")
+def text_labelled_network(spark, d):
+    return edge_files.read_labelled_network(spark, _as_text(spark, d, "src, dst", " "), False)
+
+
+@query(preparation._SQL + "select a::bigint node, b::bigint as label, count(*) n from i where ok and feed = 'eu_node' group by all")
+def text_labels(spark, d):
+    path = runtime.scratch(spark, "text")
+    _node_labels(spark, d, "eu_node").selectExpr("concat_ws(' ', node, label) value").write.text(path)
+    return edge_files.read_labels(spark, path).groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Round trips
 
 

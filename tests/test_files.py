@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from graphweft import functions as gf
@@ -52,3 +54,13 @@ def test_command_line(spark, tmp_path, capsys):
     assert store.load_embedding(spark, str(tmp_path / "out")).vectors.count() == 14
     assert cli.main(["--csv", p, "validation", "--nbpass", "1", "--skip", "0.2", "--centric", "sketching", "--dim", "8", "--decay", "0.2", "--nbiter", "1"]) == 0
     assert "centric_auc" in capsys.readouterr().out
+    assert cli.main(["--csv", p, "--symetric", "false", "validation", "--nbpass", "2", "--skip", "0.2", "--centric", "hope", "rank", "--targetrank", "4", "--nbiter", "1"]) == 0
+    figures = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert all(figures[k]["passes"] == 2 for k in ("auc", "centric_auc", "vcmpr"))
+
+
+def test_string_ids_come_back(spark, tmp_path):
+    e = Embedding(spark.createDataFrame([("x", [1.0]), ("y", [2.0])], "node string, vec array<double>"), gf.dot_distance, True, "hope")
+    store.dump_embedding(e, store.Output(str(tmp_path / "s")))
+    back = store.load_embedding(spark, str(tmp_path / "s"))
+    assert back.vectors.schema == e.vectors.schema and store.differences(e.vectors, back.vectors).count() == 0

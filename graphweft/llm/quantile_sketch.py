@@ -86,7 +86,7 @@ def one_per_key(df: DataFrame, key: Sequence[str], loaded: str = "loaded_at") ->
 
     def earliest(c: str) -> Column:
         there = F.col(c).isNotNull() & ~F.isnan(c) if kinds[c] in ("double", "float") else F.col(c).isNotNull()
-        return F.min_by(c, F.when(there, F.coalesce(F.col(loaded), F.lit("9999-12-31").cast(kinds[loaded])))).alias(c)
+        return F.coalesce(F.min_by(c, F.when(there, F.col(loaded))), F.max(F.when(there, F.col(c)))).alias(c)  # else of rows without a time
 
     out = coded.groupBy(*key).agg(*[earliest(c) for c in df.columns if c not in key and c != loaded], F.min(loaded).alias(loaded))
     for c in names:

@@ -46,6 +46,26 @@ def test_single_byte_and_lost(spark):
     assert out[400] == out[401] == CLEAN["ru"] and out[403] == "naïve" and out[404] == "1–1 fait" and out[405] == "20 °C"
 
 
+def test_long_runs_stay_whole(spark):
+    words = [w for w in "предложена пористая крышка которая прижимает деталь при нагреваемой камере".split(" ")]
+    long = "".join(words * 3)
+    for text in (long, "x" * 40 + long[:100]):
+        bad = text.encode().decode("latin1")
+        df = spark.createDataFrame(list(enumerate(corpus(400) + [bad])), "doc_id long, text string")
+        assert [(r.doc_id, r.restored_text) for r in encoding_repair.restore(df).collect()] == [(400, text)]
+    for text in (long.encode().decode("latin1"), "漢字" * 100, "é" * 90 + "a" + "é" * 90, long):
+        pieces, _ = encoding_repair.runs([text])
+        assert "".join(pieces) == text
+    assert max(map(len, encoding_repair.runs(["漢字" * 1000])[0])) == encoding_repair.PIECE
+    assert len(encoding_repair.runs([long.encode().decode("latin1")])[0]) == 1
+
+
+def test_lost_bytes_are_only_restored_to_words(spark):
+    df = spark.createDataFrame(list(enumerate(corpus(400) + ["����se", "D�se"])), "doc_id long, text string")
+    out = {r.doc_id: (r.restored_text, r.n_lost) for r in encoding_repair.restore(df).collect()}
+    assert out[400] == ("����se", 1) and out[401] == ("Düse", 0)
+
+
 def test_edge_cases(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " "), (4, "plain"), (5, "é" * 5000), (6, "�"), (6, "�")], "doc_id long, text string")
     assert {r.doc_id for r in encoding_repair.found(df).collect()} == {6}

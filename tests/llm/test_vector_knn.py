@@ -60,6 +60,16 @@ def test_copies_and_odd_rows(spark, small):
     assert all(sorted(got[i]) == [j for j in range(200, 206) if j != i][:5] for i in range(200, 300))
 
 
+def test_copies_of_a_direction_with_other_norms(spark, small):
+    rng = np.random.default_rng(5)
+    way = rng.standard_normal(DIM)
+    rows = [(i, v) for i, v in enumerate(rng.standard_normal((150, DIM)))] + [(i, way * rng.uniform(0.01, 50)) for i in range(200, 400)]
+    got = {}
+    for r in vector_knn.nearest(frame(spark, rows), "f", "id", "vec", DIM, recall=1.0).collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert all(sorted(got[i]) == [j for j in range(200, 206) if j != i][:5] for i in range(200, 400))
+
+
 def test_empty_and_single(spark):
     assert vector_knn.nearest(frame(spark, []), "f", "id", "vec", DIM).collect() == []
     assert vector_knn.nearest(frame(spark, [(1, [1.0] * DIM)]), "f", "id", "vec", DIM).collect() == []

@@ -12,7 +12,8 @@ to the cell of its leaf once, and as a query to other cells that hold leaves it
 k + 1 least ids are compared; the rest get their neighbours from these, so a group of copies of any size stays cheap.
 
 Defined results: vectors that are null, of another dimension, not finite or all zero take no part; repeated rows of an
-id are one; ties go to the smaller id; a vector is never its own neighbour; a field without vectors has no rows.
+id are one; ties of equal vectors go to the smaller id (of vectors of one direction and other lengths, whose cosines differ by
+rounding only, any); a vector is never its own neighbour; a field without vectors has no rows.
 """
 
 from __future__ import annotations
@@ -49,6 +50,23 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[ok], (x[ok] / norm[ok, None]).astype(np.float32)
 
 
+def _directions(batches: Iterator[pa.RecordBatch], dim: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """A hash of the direction, to five digits, of each usable vector, with the row or alone. Vectors so near differ in no
+    cosine that is told apart here."""
+    odd = np.random.default_rng(1).integers(1, 1 << 62, dim, dtype=np.uint64) | np.uint64(1)
+    for batch in batches:
+        rows, x = _matrix(batch.column(1), dim)
+        with np.errstate(over="ignore"):
+            h = (np.rint(x * 1e5).astype(np.int64).astype(np.uint64) * odd).sum(axis=1)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = pa.array(h.astype(np.int64))
+        if whole:
+            kept = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), h], names=["id", "vec", "h"])
+        else:
+            yield pa.RecordBatch.from_arrays([h], names=["h"])
+
+
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, turns: int = 12) -> np.ndarray:
     """Centres of at most k clusters."""
     k = max(1, min(k, len(x)))
@@ -247,15 +265,12 @@ def nearest(df: DataFrame, field: str, id: str, vector: str, dim: int, k: int =
     spark = df.sparkSession
     runtime.ship(spark)
     vectors = df.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vec")).filter(F.col("id").isNotNull() & (F.size("vec") == dim))
-    # Direction to five digits; vectors so near differ in no cosine that is told apart here.
-    top = F.array_max(F.transform("vec", lambda v: F.abs(v).cast("double")))
-    scaled = F.transform("vec", lambda v: F.try_divide(v.cast("double"), F.col("top")))
-    straight = vectors.withColumn("top", top).withColumn("norm", F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, v: s + v * v)) * F.col("top"))
-    hashed = straight.select("id", "vec", F.xxhash64(F.transform("vec", lambda v: F.round(F.try_divide(v.cast("double"), F.col("norm")), 5) + F.lit(0.0))).alias("h"))
-    hot = runtime.materialize(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1).select("h"), "copies")  # 8 bytes a vector
+    hashes = vectors.mapInArrow(lambda b: _directions(b, dim, False), "h long")
+    hot = runtime.materialize(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1).select("h"), "copies")  # 8 bytes a vector
     rest = None
     if not hot.isEmpty():
-        vectors, rest = _thin(hashed, hot, k)
+        kept = f"id long, vec {dict(vectors.dtypes)['vec']}, h long"
+        vectors, rest = _thin(vectors.mapInArrow(lambda b: _directions(b, dim, True), kept), hot, k)
     total = vectors.count()
     wanted = QUERIES + min(SAMPLE, PER_LEAF * (total // LEAF + 1))
     share = min(1.0, 1.1 * wanted / max(total, 1))
@@ -281,8 +296,7 @@ def nearest(df: DataFrame, field: str, id: str, vector: str, dim: int, k: int =
 
 def _thin(hashed: DataFrame, hot: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """The vectors without all but the k + 1 least ids of each hot copy, and (id, neighbour, cosine) of those left out."""
-    usable = F.exists("vec", lambda v: v != 0) & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    members = runtime.materialize(hashed.join(hot, "h", "left_semi").filter(usable).select("h", "id").distinct(), "members")
+    members = runtime.materialize(hashed.join(hot, "h", "left_semi").select("h", "id").distinct(), "members")
     salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     low = salted.withColumn("r", F.row_number().over(Window.partitionBy("h", "salt").orderBy("id"))).filter(F.col("r") <= k + 1)
     heads = runtime.materialize(low.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).filter(F.col("r") <= k + 1).select("h", "id", "r"), "heads")

@@ -67,7 +67,8 @@ def test_copies_of_a_direction_with_other_norms(spark, small):
     got = {}
     for r in vector_knn.nearest(frame(spark, rows), "f", "id", "vec", DIM, recall=1.0).collect():
         got.setdefault(r.id, []).append(r.neighbour)
-    assert all(sorted(got[i]) == [j for j in range(200, 206) if j != i][:5] for i in range(200, 400))
+        assert r.id < 200 or r.cosine > 0.999999
+    assert all(len(set(got[i]) - {i}) == 5 and min(got[i]) >= 200 for i in range(200, 400))
 
 
 def test_empty_and_single(spark):

@@ -40,13 +40,18 @@ def p_weight(edges: DataFrame, subset: DataFrame) -> DataFrame:
     return _figure(_within(edges, subset, "src", "dst").unionByName(_within(edges, subset, "dst", "src")), subset, F.sum("w"))
 
 
-def p_core(edges: DataFrame, nodes: DataFrame, least: float, p: Callable[[DataFrame, DataFrame], DataFrame] = p_degree, rounds: int = 1000) -> DataFrame:
-    """(node): the greatest subset in which every node has p >= ``least``; nodes below are peeled until none is left to peel."""
-    left, n = nodes.select("node"), nodes.count()
-    for _ in range(rounds):
-        left = runtime.materialize(p(edges, left).filter(F.col("p") >= least).select("node"), "core")
+def p_core(edges: DataFrame, nodes: DataFrame, least: float, p: Callable[[DataFrame, DataFrame], DataFrame] = p_degree) -> DataFrame:
+    """(node): the greatest subset in which every node has p >= ``least``; nodes below are peeled, and their edges with them,
+    until none is left to peel."""
+    left, n, work = nodes.select("node"), nodes.count(), edges
+    while True:
+        before, left = left, runtime.materialize(p(work, left).filter(F.col("p") >= least).select("node"), "core")
         now = left.count()
         if now == n:
             return left
         n = now
-    raise RuntimeError("nodes left to peel after the last round")
+        inner = work.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        outer, work = work, runtime.materialize(inner.select("src", "dst", "w"), "core_edges")
+        if outer is not edges:
+            runtime.discard(outer)
+            runtime.discard(before)

@@ -34,8 +34,10 @@ def product(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def adamic_adar(edges: DataFrame) -> DataFrame:
-    """A D^-1 A with D the strengths: the sum over common neighbours of weight products over the neighbour's strength."""
-    scaled = edges.join(strength(edges), edges.src == F.col("node")).filter("d > 0").select("src", "dst", (F.col("w") / F.col("d")).alias("w"))
+    """A D^-1 A with D the strengths: the sum over common neighbours of weight products over the neighbour's strength.
+    A strength that isn't above 0 is an error when rows are read."""
+    share = F.when(F.col("d") > 0, F.col("w") / F.col("d")).otherwise(F.raise_error(F.concat(F.lit("strength not above 0 at node "), F.col("node").cast("string"))).cast("double"))
+    scaled = edges.join(strength(edges), edges.src == F.col("node")).select("src", "dst", share.alias("w"))
     return product(edges, scaled)
 
 

@@ -29,10 +29,11 @@ def header_lines(spark: SparkSession, path: str) -> int:
 
 
 def probe_delimiter(spark: SparkSession, path: str, delimiters: Sequence[str] = DELIMITERS) -> str:
-    """The first delimiter that gives the first line of data at least two fields."""
+    """The first delimiter by which the first line of data begins with two numbers of nodes."""
     first = _lines(spark, path).first()
     for d in delimiters:
-        if first is not None and len(first.value.strip().split(d)) >= 2:
+        fields = first.value.strip().split(d) if first is not None else []
+        if len(fields) >= 2 and all(f.strip().isdecimal() for f in fields[:2]):
             return d
     raise ValueError(f"no delimiter of {delimiters!r} fits {path}")
 
@@ -66,6 +67,19 @@ def read_labels(spark: SparkSession, path: str, delimiter: str | None = None) ->
     return rows.select(F.col("src").alias("node"), F.col("dst").alias("label"))
 
 
+def load_labelled_graph(spark: SparkSession, edges: str, labels: str, directed: bool, delimiter: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(src, dst, w, label) of the edges, in both directions if not ``directed``, (node) of all nodes and (node, label) of the
+    labels of those nodes, as :func:`graphweft.operators.labelled.embed_labelled` takes them. Edges have no labels of their own;
+    label 0, which stands for none there, becomes one more than the greatest."""
+    e = read_labelled_network(spark, edges, directed, delimiter)
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    both = e if directed else e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w", "label"))
+    given = read_labels(spark, labels, delimiter).distinct()
+    fresh = given.agg((F.max("label") + 1).alias("fresh"))
+    named = given.join(F.broadcast(fresh)).select("node", F.when(F.col("label") == 0, F.col("fresh")).otherwise(F.col("label")).cast("string").alias("label"))  # fresh is one row
+    return both, nodes, named.join(nodes, "node", "left_semi")
+
+
 def read_labelled_network(spark: SparkSession, edges: str, directed: bool, delimiter: str | None = None, header: bool = False) -> DataFrame:
     """(src, dst, w, label): edges of weight 1 without labels, once each; of an undirected network once per pair of ends."""
     rows = read_edges(spark, edges, delimiter)

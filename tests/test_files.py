@@ -28,6 +28,13 @@ def test_edge_files(spark, tmp_path):
         edge_files.probe_delimiter(spark, write(tmp_path / "d.csv", "abc\n"))
 
 
+def test_labelled_graph(spark, tmp_path):
+    e, l = write(tmp_path / "e.txt", "1 2\n2 3\n2 1\n"), write(tmp_path / "l.txt", "1 0\n2 4\n9 1\n")
+    edges, nodes, labels = edge_files.load_labelled_graph(spark, e, l, False)
+    assert sorted((r.src, r.dst) for r in edges.collect()) == [(1, 2), (2, 1), (2, 3), (3, 2)]
+    assert {r.node for r in nodes.collect()} == {1, 2, 3} and {(r.node, r.label) for r in labels.collect()} == {(1, "5"), (2, "4")}
+
+
 def test_communities(spark, tmp_path):
     p = write(tmp_path / "c.txt", "1\t2\t3\n4\n")
     assert sorted((r.community, r.node) for r in edge_files.read_communities(spark, p).collect()) == [(0, 1), (0, 2), (0, 3), (1, 4)]

@@ -6,7 +6,8 @@ left out (D). The shorter one gives each segment 0, 1 or 2 units, H + 1 in all,
 segment differs by fewer tokens than its units: 1 unit asks for an equal segment, 2 units also for one with a single
 token more or less. Units go where they cost least by the frequencies of the segment's tokens, so that empty segments
 and those of tokens known to very many sets stay unasked. Signatures are sums of token hashes, made in numpy for whole
-batches; candidates are verified on the full sets.
+batches; those that no two sets have stay in their task as far as a filter of fixed size can tell; candidates are verified on
+the full sets.
 
 Defined results: nulls inside a set and repeats don't count; null and empty sets take no part; repeated rows of a record
 are one; equal sets are joined once and their records expanded from the result; an empty table gives an empty result.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,8 @@ from graphweft import runtime
 
 #: Lengths a and b of a class have b <= RATIO * a; segments beyond the least number; tokens in that share of sets are hot.
 RATIO, SPARE, HOT = 1.3, 2, 1 / 2000
+#: The filter of shared signatures has 2 ** FILTER bits, whatever the number of sets, and is put together in chunks of CHUNK.
+FILTER, CHUNK = 28, 65536
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -106,6 +110,76 @@ def _batch(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return np.asarray(sid), np.asarray(space), size, np.asarray(toks.flatten()), np.repeat(np.arange(len(size)), size)
 
 
+def _place(key: np.ndarray) -> np.ndarray:
+    """The bit of a signature in the filter."""
+    return (_mix(key.astype(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - FILTER)).astype(np.int64)
+
+
+def _touched(batches: Iterator[pa.RecordBatch], t: float, hot) -> Iterator[pa.RecordBatch]:
+    """(chunk, at, again, asked): per task the places in the filter that its sets index or ask for, whether two sets do, and
+    whether one asks."""
+    once, twice, wanted = (np.zeros(1 << (FILTER - 3), np.uint8) for _ in range(3))
+    for batch in batches:
+        pos, rec = [], []
+        for asks, make in ((False, lambda b: _index(b, t)), (True, lambda b: _probe(b, t, hot))):
+            for out, r in make([batch]):
+                pos.append(_place(out))
+                rec.append(r)
+                if asks:
+                    np.bitwise_or.at(wanted, pos[-1] >> 3, np.uint8(1) << (pos[-1] & 7).astype(np.uint8))
+        if not pos:
+            continue
+        place, who = np.concatenate(pos), np.concatenate(rec)
+        pair = np.unique(place * np.int64(len(batch)) + who)  # a set's own places once each
+        place, n = np.unique(pair // len(batch), return_counts=True)
+        byte, bit = place >> 3, (np.uint8(1) << (place & 7).astype(np.uint8))
+        again = (n > 1) | ((once[byte] & bit) > 0)
+        np.bitwise_or.at(once, byte, bit)
+        np.bitwise_or.at(twice, byte[again], bit[again])
+    seen = np.flatnonzero(once)
+    place = (seen[:, None] * 8 + np.arange(8))[np.unpackbits(once[seen], bitorder="little").reshape(-1, 8) > 0]
+    again, asked = ((x[place >> 3] >> (place & 7).astype(np.uint8)) & 1 for x in (twice, wanted))
+    cut = np.searchsorted(place, np.arange(0, (1 << FILTER) + 1, CHUNK))
+    for c in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+        a, b = cut[c], cut[c + 1]
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([(place[a:b] - c * CHUNK).astype(np.uint16).tobytes()], pa.binary()), *(pa.array([np.packbits(x[a:b]).tobytes()], pa.binary()) for x in (again, asked))], names=["chunk", "at", "again", "asked"])
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """(chunk, bits): the places of a chunk that two sets or more touch and one of them asks for."""
+    n, wanted = np.zeros(CHUNK, np.int32), np.zeros(CHUNK, bool)
+    for at, again, asked in zip(*(table.column(c).to_pylist() for c in ("at", "again", "asked"))):
+        place = np.frombuffer(at, np.uint16)
+        n[place] += 1 + np.unpackbits(np.frombuffer(again, np.uint8))[: len(place)]
+        wanted[place] |= np.unpackbits(np.frombuffer(asked, np.uint8))[: len(place)] > 0
+    return pa.table({"chunk": table.column("chunk")[:1].cast(pa.int32()), "bits": pa.array([np.packbits((n > 1) & wanted, bitorder="little").tobytes()], pa.binary())})
+
+
+def _shared_places(sets: DataFrame, t: float, hot) -> bytes:
+    """A filter of fixed size, 2 ** (FILTER - 3) bytes (here compressed) at any number of sets: bits of signatures that more than one set has and one of them asks for.
+
+    What it lets through by chance only costs a shuffled row; the more sets there are, the less it holds back."""
+    rows = sets.mapInArrow(lambda b: _touched(b, t, hot), "chunk int, at binary, again binary, asked binary").groupBy("chunk").applyInArrow(_shared, "chunk int, bits binary").collect()
+    out = np.zeros(1 << (FILTER - 3), np.uint8)
+    for r in rows:
+        out[r.chunk * CHUNK // 8 : (r.chunk + 1) * CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
+    return zlib.compress(out.tobytes(), 1)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], make, shared) -> Iterator[pa.RecordBatch]:
+    """Signature rows of the sets whose bits in the filter are set."""
+    bits_of = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+    for batch in batches:
+        sid, _, size, tok, rec = _batch(batch)
+        parity = _parity(tok, rec, len(size))
+        parts = []
+        for key, r in make([batch]):
+            place = _place(key)
+            keep = (bits_of[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+            parts.append((key[keep], r[keep]))
+        yield from _emit(parts, sid, size, parity)
+
+
 def _emit(parts: list[tuple[np.ndarray, np.ndarray]], sid: np.ndarray, size: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     for key, rec in parts:
         for i in range(0, len(key), 100_000):
@@ -122,24 +196,28 @@ def _pick(tok: np.ndarray, rec: np.ndarray, own: np.ndarray) -> tuple[np.ndarray
     return tok[at >= 0], at[at >= 0]
 
 
-def _index(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+Signatures = Iterator[tuple[np.ndarray, np.ndarray]]
+
+
+def _index(batches: Iterator[pa.RecordBatch], t: float) -> Signatures:
+    """Keys that the sets are indexed by, and the place in the batch of each one's set."""
     for batch in batches:
-        sid, space, size, tok, rec = _batch(batch)
-        bits = _parity(tok, rec, len(size))
+        _, space, size, tok, rec = _batch(batch)
         ends = np.array([class_of(x)[1] for x in range(1, int(size.max(initial=0)) + 1)])[size - 1] if len(size) else size
         for b in np.unique(ends).tolist():
             own = np.flatnonzero(ends == b)
             tk, rc = _pick(tok, rec, own)
             m, h, cell, total = _segments(tk, rc, len(own), b, t, space[own])
             with np.errstate(over="ignore"):
-                yield from _emit([(_whole(total), np.repeat(own, m)), (_less(total[cell] - h), own[rc])], sid, size, bits)
+                yield _whole(total), np.repeat(own, m)
+                yield _less(total[cell] - h), own[rc]
 
 
-def _probe(batches: Iterator[pa.RecordBatch], t: float, hot) -> Iterator[pa.RecordBatch]:
+def _probe(batches: Iterator[pa.RecordBatch], t: float, hot) -> Signatures:
+    """Keys that the sets ask for."""
     tokens, share, rare = hot.value
     for batch in batches:
-        sid, space, size, tok, rec = _batch(batch)
-        bits = _parity(tok, rec, len(size))
+        _, space, size, tok, rec = _batch(batch)
         at = np.minimum(np.searchsorted(tokens, tok), max(len(tokens) - 1, 0))
         cost = np.where(tokens[at] == tok, share[at], rare) if len(tokens) else np.full(len(tok), rare)
         log = np.log(cost)
@@ -170,7 +248,9 @@ def _probe(batches: Iterator[pa.RecordBatch], t: float, hot) -> Iterator[pa.Reco
             both = np.flatnonzero(e == 2)
             deep = np.flatnonzero(e[cell] == 2)
             with np.errstate(over="ignore"):
-                yield from _emit([(_whole(total[asked]), who[asked]), (_less(total[both]), who[both]), (_whole(total[cell[deep]] - h[deep]), own[rc[deep]])], sid, size, bits)
+                yield _whole(total[asked]), who[asked]
+                yield _less(total[both]), who[both]
+                yield _whole(total[cell[deep]] - h[deep]), own[rc[deep]]
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
@@ -183,8 +263,9 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     given = spark.sparkContext.broadcast((np.array([t for t, _ in hot], np.int64), np.array([x for _, x in hot]), max(HOT, 2 / max(total, 2)) / 4))
     schema = "key long, sid long, len int, bits long"
     source = sets.select("space", "h1", "toks")
-    index = source.mapInArrow(lambda b: _index(b, threshold), schema).alias("i")
-    probe = source.mapInArrow(lambda b: _probe(b, threshold, given), schema).alias("p")
+    shared = spark.sparkContext.broadcast(_shared_places(source, threshold, given))
+    index = source.mapInArrow(lambda b: _rows(b, lambda x: _index(x, threshold), shared), schema).alias("i")
+    probe = source.mapInArrow(lambda b: _rows(b, lambda x: _probe(x, threshold, given), shared), schema).alias("p")
     both = F.col("p.len") + F.col("i.len")
     apart = both - 2 * F.ceil(F.lit(threshold / (1 + threshold)) * both - F.lit(1e-9))
     fits = (F.bit_count(F.col("p.bits").bitwiseXOR(F.col("i.bits"))) <= apart) & (F.col("p.len") <= F.col("i.len")) & (F.col("i.len") * F.lit(threshold) <= F.col("p.len") + F.lit(1e-9)) & ((F.col("p.len") < F.col("i.len")) | (F.col("p.sid") < F.col("i.sid")))

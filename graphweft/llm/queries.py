@@ -176,7 +176,18 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p4_found": p4_found, "p4_knn": p4_knn, "p5_found": p5_found, "p5_split": p5_split, "p5_shares": p5_shares, "p6_degree_by_snapshot": p6_degree_by_snapshot, "p6_degree_by_graph": p6_degree_by_graph, "p6_distance_by_run": p6_distance_by_run, "p6_distance_by_graph": p6_distance_by_graph, "p6_degree_from_store": p6_degree_from_store, "p6_error_bound": p6_error_bound, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_restored": p9_restored}
+_VECTORS = "v as materialized (" + " union all ".join(f"select '{f}' field, node, any_value({f})::double[] v from {t} where len({f}) = 48 and len(list_filter({f}, lambda x: isfinite(x))) = 48 and list_max(list_transform({f}, lambda x: abs(x))) > 0 group by node" for t, f in (("embedded", "data"), ("embedded_asym", "source"), ("embedded_asym", "target"))) + ")"
+_GRAMS = "{0} as materialized (select distinct {1}, array_to_string(w[k : k + 11], ' ') g from (select {1}, list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x)) w from {2}), unnest(range(1, len(w) - 10)) t(k))"
 SQL: dict[str, str] = {
+    "p2_links": """with r as (select 0 s, 'sketches' field, node id, list_sort(list_filter(list_distinct(any_value(sketches)), lambda x: x is not null)) t from node_sketch group by node
+    union all select 0, 'sketches_out', node, list_sort(list_filter(list_distinct(any_value(sketches_out)), lambda x: x is not null)) from node_sketch_asym group by node
+    union all select 1, 'sketches_in', node, list_sort(list_filter(list_distinct(any_value(sketches_in)), lambda x: x is not null)) from node_sketch_asym group by node),
+    c as materialized (select s, t, len(t) n, min(id) class_id, count(*) copies, row_number() over () k from r where len(t) > 0 group by s, t), x as materialized (select s, k, n, unnest(t) v from c),
+    p as (select a.k, b.k k2 from x a join x b on a.s = b.s and a.v = b.v and a.k <> b.k group by a.k, b.k, a.n, b.n having count(*) / (a.n + b.n - count(*)) >= 0.6), l as (select k, count(*) links from p group by k)
+    select field, id, class_id, copies, coalesce(links, 0) links from r join c using (s, t) left join l using (k)""",
+    "p4_found": f"""with {_VECTORS}, k as (select field, id, neighbour, c from (select a.field, a.node id, b.node neighbour, list_cosine_similarity(a.v, b.v) c, row_number() over (partition by a.field, a.node order by list_cosine_similarity(a.v, b.v) desc, b.node) r from v a join v b on a.field = b.field and a.node <> b.node) where r <= 5 and c >= 0.9)
+    select distinct field, least(id, neighbour) node_a, greatest(id, neighbour) node_b from k""",
+    "p8_found": f"with {_GRAMS.format('dg', 'doc_id', 'documents')}, {_GRAMS.format('ig', 'item_id', 'eval_item')} select distinct doc_id, item_id from dg join ig using (g)",
     "p2_found": """with r as (select 0 s, 'sym' f, node, list_distinct(any_value(sketches)) t from node_sketch group by node
     union all select 0, 'out', node, list_distinct(any_value(sketches_out)) from node_sketch_asym group by node
     union all select 1, 'in', node, list_distinct(any_value(sketches_in)) from node_sketch_asym group by node),

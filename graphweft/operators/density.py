@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -137,11 +137,24 @@ def _tied(points: list[tuple]) -> list[tuple]:
     return out
 
 
-def _pooled(points: list[tuple]) -> list[tuple]:
-    """Adjacent points (lo, hi, n, total) pooled until their means total / n strictly decrease."""
+def _mean(n: int, total: float) -> float:
+    return total / n
+
+
+def _settled(v: float) -> float:
+    """``v`` to nine decimals, below 1 to nine digits: up to some millions, what is left does not depend on the order of adding."""
+    return round(v, 9) if abs(v) >= 1 else float(f"{v:.9g}")
+
+
+def _settled_mean(n: int, total: float) -> float:
+    return _settled(_settled(total) / n)
+
+
+def _pooled(points: list[tuple], mean: Callable[[int, float], float] = _mean) -> list[tuple]:
+    """Adjacent points (lo, hi, n, total) pooled until their means strictly decrease."""
     out = []
     for lo, hi, n, total in points:
-        while out and total / n >= out[-1][3] / out[-1][2]:
+        while out and mean(n, total) >= mean(*out[-1][2:]):
             _, hi, m, more = out.pop()
             n, total = n + m, total + more
         out.append((lo, hi, n, total))
@@ -160,7 +173,8 @@ def blocks_of_density(density: DataFrame) -> DataFrame:
     """(block, lo, hi, n, y): the decreasing isotonic regression of density over nodes in decreasing load, exactly.
 
     Only loads within ``CLOSE`` of each other are one point. Points are pooled inside ranges of loads, then the blocks
-    left of all ranges on the driver: contiguous runs may be pooled first, the regression stays the same.
+    left of all ranges on the driver: contiguous runs may be pooled first, the regression stays the same. There
+    means that are equal to nine decimals (below 1, nine digits) are one block, and y comes from the total so rounded.
     ``density`` (node, load, y).
     """
     spark = density.sparkSession
@@ -168,8 +182,8 @@ def blocks_of_density(density: DataFrame) -> DataFrame:
     points = density.groupBy("load").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("total"))
     ranges = points.repartitionByRange(F.desc("load")).sortWithinPartitions(F.desc("load"))
     rows = ranges.mapInArrow(_pool_range, "lo double, hi double, n long, total double").collect()
-    fit = _pooled(_tied(sorted(map(tuple, rows), key=lambda r: -r[1])))
-    return spark.createDataFrame([(k, lo, hi, n, total / n) for k, (lo, hi, n, total) in enumerate(fit)], "block int, lo double, hi double, n long, y double")
+    fit = _pooled(_tied(sorted(map(tuple, rows), key=lambda r: -r[1])), _settled_mean)
+    return spark.createDataFrame([(k, lo, hi, n, _settled(total) / n) for k, (lo, hi, n, total) in enumerate(fit)], "block int, lo double, hi double, n long, y double")
 
 
 def node_blocks(density: DataFrame, blocks: DataFrame) -> DataFrame:

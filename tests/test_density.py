@@ -149,3 +149,18 @@ def test_stability_of_many_blocks_against_brute_force(spark, planted):
         inside, outside = [v for n, v in r.items() if member[n] <= k], [v for n, v in r.items() if member[n] > k]
         if outside and abs(min(inside) - max(outside)) > 1e-9:
             assert got[k] == (min(inside) > max(outside)), k
+
+
+def test_blocks_do_not_depend_on_the_order_of_adding(spark):
+    def fit(*groups):
+        rows = [(100.0 - k - 1e-7 * i, y) for k, ys in enumerate(groups) for i, y in enumerate(ys)]
+        got = density.blocks_of_density(spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(rows)], "node long, load double, y double").coalesce(1))
+        return [(r.n, r.y) for r in got.orderBy("block").collect()]
+
+    # 40.225 / 8 = 5.028125, halfway between two numbers of five digits
+    ys = [5.0, 5.0, 5.008, 5.0, 5.0, 5.202, 5.0, 5.015]
+    assert [fit(o) for o in (ys, ys[::-1], sorted(ys))] == [[(8, 5.028125)]] * 3
+    # 0.6 / 3 = 0.2: equal means are one block, whatever their last bits
+    assert [fit(o, [0.2], [0.1]) for o in ([0.1, 0.2, 0.3], [0.3, 0.2, 0.1])] == [[(4, 0.2), (1, 0.1)]] * 2
+    # small ones stay apart
+    assert [n for n, _ in fit([3e-12], [2e-12], [1e-12])] == [1, 1, 1]

@@ -284,3 +284,45 @@ def test_nearest_pairs_against_all_pairs(spark):
     assert len(got) == len({g[:2] for g in got}) and all(all_pairs[g[:2]] == g[2] for g in got)
     best = lambda ps: sorted((p for p in ps if p[:2] not in train), key=lambda p: (-p[2], *p[:2]))[:20]
     assert best(got) == best((*k, s) for k, s in all_pairs.items())
+
+
+def _nearest_by_hand(v, k):
+    out = {}
+    for i in range(len(v)):
+        common = (v == v[i]).sum(1)
+        out[i] = sorted((1 - common[j] / v.shape[1], j) for j in range(len(v)) if j != i)[:k]
+    return out
+
+
+def test_neighbour_index_meets_only_rare_values():
+    rng = np.random.default_rng(11)
+    v = np.repeat(rng.integers(0, 1 << 40, (50, 16)), 10, axis=0)
+    v[np.arange(500), 1 + np.arange(500) % 10] = -np.arange(1, 501)  # clusters of ten that agree in 14 slots
+    v[:, 0] = 7  # and a value that all have
+    names = np.arange(500)
+    index = sketch._Index(*sketch._Index.parts(names, np.ones(500, np.int64), v))
+    index.lists[:500] = -(10**6)  # the list of slot 0: to read it is an error
+    a, b, common = index.nearest(names, np.zeros(500, np.int64), v, 8)
+    want = _nearest_by_hand(v, 8)
+    got = {}
+    for x, y, c in zip(a, b, common):
+        got.setdefault(int(x), []).append((1 - c / 16, int(y)))
+    assert got == want
+
+
+@pytest.mark.parametrize("shard", [1 << 19, 40])
+@pytest.mark.parametrize("dim", [5, 16, 40, 70])
+def test_nearest_of_all_nodes(spark, monkeypatch, shard, dim):
+    monkeypatch.setattr(sketch, "SHARD", shard)
+    rng = np.random.default_rng(dim)
+    v = rng.integers(0, 40, (160, dim)) + 1000 * rng.integers(0, 4, (160, 1))
+    v[30:50] = v[30]  # a class of more than k nodes, one of fewer
+    v[50:53] = v[50]
+    v[100:] += 10**6 * np.arange(1, 61)[:, None]  # nodes that have nothing in common with any
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "node long, vec array<long>")
+    got = {}
+    for r in sketch.nearest_of(df, df, dim, 4).orderBy("node", "rank").collect():
+        got.setdefault(r.node, []).append((r.distance, r.neighbour))
+        assert r["rank"] == len(got[r.node])
+    for i, want in _nearest_by_hand(v, 4).items():
+        assert [b for _, b in got[i]] == [b for _, b in want] and np.allclose([d for d, _ in got[i]], [d for d, _ in want])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import shutil
@@ -84,6 +85,13 @@ def discard(df: DataFrame) -> None:
         _remove(*made)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the engine delete the shuffle files of what is done: it does so when the driver's JVM collects its garbage, else
+    they stay until that happens to be short of memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a table that is written by its owner and goes with :func:`release`."""
     path = f"{shared_dir(spark).rstrip('/')}/graphweft/{name}-{uuid.uuid4().hex}"

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphweft import functions as gf
-from graphweft import model
+from graphweft import model, runtime
 from graphweft.model import Graph, HopeParams, SketchParams
 from graphweft.operators import cores, degrees, dense, labelled, node_centric, normalize, sketch, spectral
 from graphweft.operators import link_prediction as lp
@@ -326,3 +326,27 @@ def test_nearest_of_all_nodes(spark, monkeypatch, shard, dim):
         assert r["rank"] == len(got[r.node])
     for i, want in _nearest_by_hand(v, 4).items():
         assert [b for _, b in got[i]] == [b for _, b in want] and np.allclose([d for d, _ in got[i]], [d for d, _ in want])
+
+
+def test_hop_groups_without_moving_items(spark):
+    edges = spark.createDataFrame([(1, 2, 2.0), (1, 3, 1.0), (4, 2, 5.0)], "src long, dst long, w double")
+    vectors = spark.createDataFrame([(2, [7, 7, 3, 2]), (3, [3, 3, 3, 3])], "node long, vec array<long>")
+    hop = sketch.accumulate(edges, sketch.counted(vectors), 4, 0.2)
+    got = {(r.src, r.item): round(r.w, 9) for r in hop.collect()}
+    assert got == {(1, 2): 2.1, (1, 3): 1.3, (1, 7): 0.2, (4, 2): 5.25, (4, 7): 0.5, (4, 3): 0.25}
+    drawn = sketch.signatures(hop, ["src"], 16)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert not any("item" in line.split(")")[0] or "_pass" in line.split(")")[0] for line in moved)
+    assert sum("(src" in line for line in moved) == 1
+
+
+def test_sketch_leaves_no_shuffle_files(spark):
+    import glob
+    import os
+
+    files = lambda: [f for d in glob.glob(os.path.join(os.environ.get("SPARK_LOCAL_DIRS", "/tmp"), "blockmgr-*")) for f in glob.glob(f"{d}/*/shuffle_*.data")]
+    runtime.collect_garbage(spark)
+    before = set(files())
+    sketch.embed(toy(spark, False), SketchParams(12, 0.2, 3))
+    assert len(set(files()) - before) == 0
